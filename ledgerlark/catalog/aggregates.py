@@ -213,9 +213,9 @@ def _(t):
 
 
 @query("agg_futility_audit", """WITH base AS (SELECT a.competition_id, a.run_ts, a.attempt_id, coalesce(p.fold_scores, a.fold_scores) AS f FROM pipelines p
- JOIN attempts a USING (attempt_id) WHERE p.cv_score IS NOT NULL AND p.invalid_reason IS NULL AND coalesce(p.fold_scores, a.fold_scores) IS NOT NULL),
+ JOIN attempts a USING (attempt_id) WHERE p.cv_score IS NOT NULL AND p.invalid_reason IS NULL),
  d AS (SELECT a.competition_id, a.attempt_id, any_value(a.label) AS label, any_value(a.gain_vs_best) AS g, any_value(a.fold_scores) AS f,
- arg_max(b.f, (b.run_ts, b.attempt_id)) AS bf FROM attempts a JOIN base b ON b.competition_id = a.competition_id AND b.run_ts < a.run_ts
+ arg_max({'f': b.f}, (b.run_ts, b.attempt_id)).f AS bf FROM attempts a JOIN base b ON b.competition_id = a.competition_id AND b.run_ts < a.run_ts
  WHERE a.fold_scores IS NOT NULL AND NOT coalesce(a.futility_early_exit, false) GROUP BY 1, 2)
  SELECT competition_id, count(*) AS audited, count(*) FILTER (WHERE g > 1e-4 OR label = 'jump') AS false_stops FROM d JOIN competitions USING (competition_id)
  WHERE metric_sign * (f[1] - bf[1]) < -75e-2 * list_stddev_pop(bf) GROUP BY 1""")
