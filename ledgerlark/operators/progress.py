@@ -47,7 +47,9 @@ def project_cpu(lines: DataFrame, now: DataFrame, run: str, order: str, line: st
 
 
 def project_preselect(lines: DataFrame, now: DataFrame, run: str, order: str, line: str) -> DataFrame:
-    """The same for runs that still score candidates; before the first one is done the CPU so far is the bound."""
+    """The same for runs that still score candidates: the running one costs at least the mean, each waiting one the mean.
+
+    Before the first one is done the CPU so far is the bound."""
     parsed = parse(lines, line)
     ended = parsed.filter("stage IN ('preselect_done', 'cv_done')").select(run)
     inside = _after(run, order, parsed.join(ended, run, "left_anti"), "preselect_start")
@@ -57,6 +59,7 @@ def project_preselect(lines: DataFrame, now: DataFrame, run: str, order: str, li
         F.first("_start_cpu").alias("_start"), F.first("_steps").alias("candidates"),
     ).join(now, run).filter(F.col("_done") < F.col("candidates"))
     average = F.try_divide(F.col("_last") - F.col("_start"), F.col("_done"))
-    per_candidate = F.greatest(average, F.col("cpu_now") - F.col("_last"))
-    projected = F.when(F.col("_done") == 0, F.col("cpu_now")).otherwise(F.col("_last") + (F.col("candidates") - F.col("_done")) * per_candidate)
+    running = F.greatest(average, F.col("cpu_now") - F.col("_last"))
+    waiting = (F.col("candidates") - F.col("_done") - 1) * average
+    projected = F.when(F.col("_done") == 0, F.col("cpu_now")).otherwise(F.col("_last") + running + waiting)
     return state.select(run, (F.col("_done") + 1).cast("long").alias("candidate"), "candidates", projected.alias("projected"))
