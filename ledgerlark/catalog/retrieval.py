@@ -47,9 +47,9 @@ def _(t):
     return r(R.search(t.lessons, t.impact, _query_vector(t), 3))
 
 
-@query("rt_near_duplicates", DUPLICATES)
+@query("rt_near_duplicates", DUPLICATES.replace("> 0.90", "> 0.30"))
 def _(t):
-    return r(views.lesson_duplicates(t.lessons))
+    return r(views.lesson_duplicates(t.lessons, threshold=0.30))
 
 
 @query("rt_normalise", """WITH c AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings)

@@ -8,6 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -17,9 +21,6 @@ from . import listings, summaries
 
 def cosine_to(query: Sequence[float]):
     """A column function: cosine between an array column and one query vector; null for null or other sizes."""
-    import numpy as np
-    import pyarrow as pa
-
     q = np.asarray(query, dtype="float64")
     q = q / max(float(np.linalg.norm(q)), 1e-300)
 
@@ -61,9 +62,6 @@ def mmr(cand: DataFrame, k: int, group: Sequence[str] = (), lam: float = K.MMR_L
     A group is the candidate list of one query (4k rows), so the greedy loop sees bounded input. Lists of at most
     k rows pass unchanged, in order of similarity.
     """
-    import numpy as np
-    import pandas as pd
-
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sim", "reflection_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         if len(pdf) <= k:

@@ -6,6 +6,8 @@ Spark broadcasts it while it is below its size limit and splits a skewed sort-me
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BANDIT_DECAY, DUPLICATE_COSINE, DUPLICATE_NEWEST, LB_DEADBAND
@@ -142,9 +144,6 @@ def lesson_duplicates(
     The view looks at the newest lessons of each competition only, which is part of its definition and bounds a
     group to ``newest`` vectors: one matrix product per group, only pairs above the threshold leave the task.
     """
-    import numpy as np
-    import pandas as pd
-
     live = lessons.filter("NOT archived").select("reflection_id", "competition_id", "created_at", "embedding")
     recent = prefix.newest_per_key(live, ["competition_id"], [F.col("created_at").desc(), F.col("reflection_id").desc()], newest)
 

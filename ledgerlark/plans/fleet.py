@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -14,9 +16,6 @@ from ..operators import listings, summaries, views
 
 def _draws(seed: int, n: int):
     """A column function: n repeatable Beta draws from (key, action, alpha, beta)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def draw(stream: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
         return pd.Series([
