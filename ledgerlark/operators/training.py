@@ -65,23 +65,31 @@ def dummy_target(df: DataFrame, train: DataFrame, target: str, row_id: str) -> D
     return df.withColumn(target, value.cast(train.schema[target].dataType))
 
 
-def encode_strings(train: DataFrame, other: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """String columns as codes by sorted distinct train values; null and unseen values become -1.
+def string_codes(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(field, value, code): rank (from 0) of every distinct value of every column, in binary order.
 
-    The code of a value is its rank among the distinct values, found by a sliced prefix count.
+    All columns go through one distinct and one sliced prefix count; slices are the leading two bytes.
     """
-    out = other
-    for c in cols if cols is not None else columns_of(train, "string"):
-        values = train.select(F.col(c).alias("_value")).filter("_value IS NOT NULL").distinct()
-        out = out.join(value_codes(values).withColumnRenamed("_value", c), c, "left").withColumn(c, F.coalesce("_code", F.lit(-1)).cast("int")).drop("_code")
-    return out.select(*other.columns)
-
-
-def value_codes(values: DataFrame) -> DataFrame:
-    """Rank (from 0) of distinct strings in binary order, sliced by their leading two bytes."""
-    lead = F.rpad(F.substring(F.hex("_value"), 1, 4), 4, "0")
-    sliced = values.withColumn("_all", F.lit(1)).withColumn(prefix.SLICE, lead)
-    return prefix.running(sliced, ["_all"], [F.col("_value")], {"_code": ("count", F.lit(1))}).select("_value", (F.col("_code") - 1).alias("_code"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in cols])).alias("p")
+    values = train.select(pairs).select("p.*").filter("value IS NOT NULL").distinct()
+    sliced = values.withColumn(prefix.SLICE, F.rpad(F.substring(F.hex("value"), 1, 4), 4, "0"))
+    ranked = prefix.running(sliced, ["field"], [F.col("value")], {"code": ("count", F.lit(1))})
+    return ranked.withColumn("code", (F.col("code") - 1).cast("int"))
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """String columns replaced by their codes; null and unseen values become -1."""
+    out = df
+    for c in cols:
+        own = codes.filter(F.col("field") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))
+        out = out.join(own, c, "left").withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_code")
+    return out.select(*df.columns)
+
+
+def encode_strings(train: DataFrame, other: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """String columns of ``other`` as codes by the sorted distinct values of ``train``."""
+    cols = list(cols) if cols is not None else columns_of(train, "string")
+    return apply_codes(other, string_codes(train, cols), cols) if cols else other
 
 
 def map_values(col: Column, mapping: dict, default) -> Column:
