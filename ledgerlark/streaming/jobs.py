@@ -15,10 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
 from ..functions import rules
@@ -241,59 +239,69 @@ def gate_reason(
     )
 
 
-def stream_gate(
-    attempts: DataFrame, *, expected: int = 3, min_done: int = 2, grace_sec: float = 900.0, max_wait_sec: float = 3000.0, delay: str = "1 hour"
-) -> DataFrame:
-    """One row per super cycle when its gate fires, by event time: on a row that completes it, or on a timer.
+def gate_facts(attempts: DataFrame, expected: int) -> DataFrame:
+    """What a gate depends on, per super cycle: first row, first full result, last row, first ``expected`` results.
 
-    Timers: the grace time counts from the first result that was not stopped early, the maximum wait from the first
-    row. A super cycle has a handful of attempts; the state is four numbers.
+    Later results cannot change the outcome, so every map task hands on at most ``expected`` rows per super cycle.
     """
-    schema = "super_cycle_id string, reason string, n_success long, n_done long, fired_at timestamp"
-    state_schema = "n_success long, n_done long, first double, start double, fired boolean"
-
-    def fire(key, reason, success, done, at):
-        return pd.DataFrame({"super_cycle_id": [key], "reason": [reason], "n_success": [success], "n_done": [done], "fired_at": [pd.Timestamp(at, unit="s", tz="UTC")]})
-
-    def due(done, first, start):
-        grace = first + grace_sec if first >= 0 and done >= 1 else float("inf")
-        return ("grace", grace) if grace <= start + max_wait_sec else ("maxwait", start + max_wait_sec)
-
-    def step(key, frames, state: GroupState):
-        success, done, first, start, fired = state.get if state.exists else (0, 0, -1.0, -1.0, False)
-        if state.hasTimedOut:
-            if not fired:
-                reason, at = due(done, first, start)
-                yield fire(key[0], reason, success, done, at)
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["run_ts", "attempt_id"])
-        for row in rows.itertuples():
-            if fired:
-                break
-            now = row.at
-            if start >= 0:
-                reason, at = due(done, first, start)
-                if at <= now:
-                    fired = True
-                    yield fire(key[0], reason, success, done, at)
-                    break
-            start = now if start < 0 else start
-            full = not row.futile
-            first = now if full and first < 0 else first
-            success += int(row.scored and full)
-            done += int(row.scored or row.failed)
-            reason = "quorum" if success >= min_done else "all_done" if done >= expected else None
-            if reason:
-                fired = True
-                yield fire(key[0], reason, success, done, now)
-        state.update((success, done, first, start, fired))
-        # Fired groups stay until no earlier row can arrive any more, so late attempts do not start a second round.
-        _, at = due(done, first, start)
-        state.setTimeoutTimestamp(int(max(at * 1000, state.getCurrentWatermarkMs() + 1)))
-
-    cols = attempts.select(
-        "super_cycle_id", "attempt_id", "run_ts", (F.unix_micros("run_ts") / F.lit(1e6)).alias("at"),
-        F.col("cv_score").isNotNull().alias("scored"), F.col("error_trace").isNotNull().alias("failed"), F.coalesce("futility_early_exit", F.lit(False)).alias("futile"),
+    full = ~F.coalesce("futility_early_exit", F.lit(False))
+    times = attempts.groupBy("super_cycle_id").agg(
+        F.min("run_ts").alias("start"), F.min(F.when(full, F.col("run_ts"))).alias("first_full"), F.max("run_ts").alias("last_seen")
     )
-    return cols.withWatermark("run_ts", delay).groupBy("super_cycle_id").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    results = attempts.filter("cv_score IS NOT NULL OR error_trace IS NOT NULL").select(
+        "super_cycle_id", "run_ts", "attempt_id", (F.col("cv_score").isNotNull() & full).alias("ok")
+    )
+    first = prefix.newest_per_key(results, ["super_cycle_id"], [F.col("run_ts"), F.col("attempt_id")], expected)
+    entry = F.struct(F.col("run_ts").alias("at"), F.col("attempt_id").alias("id"), "ok")
+    return times.join(first.groupBy("super_cycle_id").agg(F.sort_array(F.collect_list(entry)).alias("results")), "super_cycle_id", "left")
+
+
+def gate_events(facts: DataFrame, mark: Column, *, expected: int, min_done: int, grace_sec: int, max_wait_sec: int) -> DataFrame:
+    """When and why each gate fires; no row while the deciding instant has not been passed by the data yet."""
+    results = F.col("results")
+    wins = F.filter(results, lambda e: e["ok"])
+
+    def after(ts: Column, seconds: int) -> Column:
+        return ts + F.expr(f"INTERVAL '{int(seconds)}' SECOND")
+
+    quorum, everyone = F.get(wins, F.lit(min_done - 1))["at"], F.get(results, F.lit(expected - 1))["at"]
+    first_result = F.get(results, F.lit(0))["at"]
+    grace = F.when(first_result.isNotNull(), F.greatest(after(F.col("first_full"), grace_sec), first_result))
+    grace = F.when(F.col("first_full").isNotNull(), grace)
+    longest = after(F.col("start"), max_wait_sec)
+    at = F.least(quorum, everyone, grace, longest)
+    reason = F.when(at == quorum, "quorum").when(at == everyone, "all_done").when(at == grace, "grace").otherwise("maxwait")
+    rows = facts.withColumns({"fired_at": at, "reason": reason}).filter((F.col("fired_at") <= mark) | (F.col("fired_at") <= F.col("last_seen")))
+    seen = F.filter("results", lambda e: e["at"] <= F.col("fired_at"))
+    return rows.select(
+        "super_cycle_id", "reason", F.coalesce(F.size(F.filter(seen, lambda e: e["ok"])), F.lit(0)).cast("long").alias("n_success"),
+        F.coalesce(F.size(seen), F.lit(0)).cast("long").alias("n_done"), "fired_at",
+    )
+
+
+def gate_step(expected: int = 3, min_done: int = 2, grace_sec: int = 900, max_wait_sec: int = 3000, delay: str = "'1' HOUR") -> Step:
+    """Fires every super cycle once: on enough successes, on all results, after the grace or the longest wait.
+
+    The clock is the newest event time seen minus the delay. A fired super cycle stays in the state until the clock
+    has passed its longest wait, so late attempts do not start a second round.
+    """
+
+    def step(batch: DataFrame, state: DataFrame | None):
+        facts = gate_facts(batch, expected).withColumn("fired", F.lit(False))
+        if state is not None:
+            both = state.drop("clock").unionByName(facts)
+            merged = F.slice(F.sort_array(F.flatten(F.collect_list("results"))), 1, expected)
+            facts = both.groupBy("super_cycle_id").agg(
+                F.min("start").alias("start"), F.min("first_full").alias("first_full"), F.max("last_seen").alias("last_seen"),
+                merged.alias("results"), F.bool_or("fired").alias("fired"),
+            )
+        newest = batch.agg(F.max("run_ts")).scalar()
+        clock = newest if state is None else F.greatest(newest, state.agg(F.max("clock")).scalar())
+        mark = clock - F.expr(f"INTERVAL {delay}")
+        events = gate_events(facts.filter("NOT fired"), mark, expected=expected, min_done=min_done, grace_sec=grace_sec, max_wait_sec=max_wait_sec)
+        hit = events.select("super_cycle_id", F.lit(True).alias("_hit"))
+        new = facts.join(hit, "super_cycle_id", "left").withColumns({"fired": F.col("fired") | F.coalesce("_hit", F.lit(False)), "clock": clock}).drop("_hit")
+        expired = F.col("fired") & (F.col("start") + F.expr(f"INTERVAL '{max_wait_sec}' SECOND") <= mark)
+        return events, new.filter(~expired)
+
+    return step
