@@ -75,11 +75,11 @@ def _(t):
     return rows.select("attempt_id", P.effective_label(F.col("label"), F.col("confirmed")).alias("effective_label"))
 
 
-@query("dc_ceiling", """WITH b AS (SELECT competition_id, metric_sign, max(metric_sign * score) * metric_sign AS wb FROM board JOIN competitions USING (competition_id) GROUP BY 1, 2)
+@query("dc_ceiling", """WITH b AS (SELECT competition_id, metric_sign, max(metric_sign * score) * metric_sign AS wb FROM (SELECT competition_id, score / 1e1 AS score FROM board) JOIN competitions USING (competition_id) GROUP BY 1, 2)
  SELECT attempt_id, competition_id, round(cv_score, 6) AS cv_score, round(wb, 6) AS world_best, round(coalesce(3 * list_stddev_samp(fold_scores) / sqrt(len(fold_scores)), 0), 6) AS margin FROM attempts JOIN b USING (competition_id)
  WHERE metric_sign * (cv_score - wb) > coalesce(3 * list_stddev_samp(fold_scores) / sqrt(len(fold_scores)), 0)""")
 def _(t):
-    return r(P.ceiling_violations(t.attempts, t.board, t.competitions))
+    return r(P.ceiling_violations(t.attempts, t.board.withColumn("score", F.col("score") / 10.0), t.competitions))
 
 
 _BEHAVIOUR = "concat_ws('|', printf('%,.9f', cv_score), array_to_string(list_transform(coalesce(fold_scores, []), lambda x: printf('%,.9f', x)), ','))"

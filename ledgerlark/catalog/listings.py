@@ -135,7 +135,7 @@ def _(t):
  FROM queue WHERE status = 'pending'""")
 def _(t):
     pending = L.next_pending(t.queue).withColumn("turn", F.coalesce("last_leased_at", "created_at"))
-    sliced = prefix.with_slice(pending, prefix.time_position("turn"))
+    sliced = prefix.with_slice(pending, ["priority"], prefix.time_position("turn"))
     out = prefix.running(sliced, ["priority"], [F.col("turn"), F.col("queue_id")], {"place": ("count", F.lit(1))})
     return out.select("queue_id", "competition", "priority", "place")
 

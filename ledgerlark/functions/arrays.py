@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -14,8 +21,8 @@ def mean(a: Column) -> Column:
 
 
 def _squares(a: Column) -> Column:
-    m = mean(a)
-    return total(F.transform(a, lambda x: (x - m) * (x - m)))
+    """Sum of squared deviations from the mean."""
+    return let(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)))
 
 
 def variance(a: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import arrays
+
 # Exceptions that give no signature, the marker of progress lines, the placeholder.
 SYNTAX_ERRORS = ("SyntaxError", "IndentationError", "TabError")
 PROGRESS_MARK = "[last_progress] "
@@ -52,15 +54,24 @@ def error_signature(trace: Column) -> Column:
     Syntax errors give none. Without such a line the last line that is neither blank nor a progress line is taken;
     the exit code of a runner stays readable.
     """
-    trimmed = F.transform(lines_of(trace), strip)
-    kept = F.filter(trimmed, lambda x: (x != "") & ~F.startswith(x, F.lit(PROGRESS_MARK)))
-    exceptions = F.filter(kept, lambda x: x.rlike(EXCEPTION_LINE))
-    last_exception, last_line = F.get(exceptions, F.size(exceptions) - 1), F.get(kept, F.size(kept) - 1)
-    name = F.substring_index(F.regexp_extract(last_exception, EXCEPTION_LINE, 1), ".", -1)
-    message = F.regexp_extract(last_exception, EXCEPTION_LINE, 2)
-    from_exception = F.when(~name.isin(*SYNTAX_ERRORS), F.concat(name, F.lit(": "), scrub(message)))
-    fallback = F.when(last_line.rlike(RUNNER_EXIT), last_line).otherwise(F.nullif(scrub(last_line), F.lit("")))
-    return F.when(last_exception.isNotNull(), from_exception).otherwise(fallback)
+    kept = F.filter(
+        F.transform(lines_of(trace), strip), lambda x: (x != "") & ~F.startswith(x, F.lit(PROGRESS_MARK))
+    )
+
+    def from_exception(line: Column) -> Column:
+        name = F.substring_index(F.regexp_extract(line, EXCEPTION_LINE, 1), ".", -1)
+        message = F.regexp_extract(line, EXCEPTION_LINE, 2)
+        return arrays.let(name, lambda n: F.when(~n.isin(*SYNTAX_ERRORS), F.concat(n, F.lit(": "), scrub(message))))
+
+    def from_last(line: Column) -> Column:
+        return F.when(line.rlike(RUNNER_EXIT), line).otherwise(arrays.let(scrub(line), lambda s: F.nullif(s, F.lit(""))))
+
+    def signature(lines: Column) -> Column:
+        last = F.element_at(F.filter(F.concat(F.array(F.lit(None).cast("string")), lines), lambda x: x.isNull() | x.rlike(EXCEPTION_LINE)), -1)
+        fallback = F.get(lines, F.size(lines) - 1)
+        return arrays.let(last, lambda e: F.when(e.isNotNull(), from_exception(e)).otherwise(from_last(fallback)))
+
+    return arrays.let(kept, signature)
 
 
 def kill_stage(trace: Column) -> Column:

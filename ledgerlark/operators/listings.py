@@ -118,7 +118,7 @@ def asof_promotion(attempts: DataFrame, pipelines: DataFrame) -> DataFrame:
 def promotion_chain(pipelines: DataFrame, attempts: DataFrame) -> DataFrame:
     """Position of every promotion in the history of its competition, quarantined ones included."""
     rows = promotions(pipelines, attempts).select("competition_id", "pipeline_id", "attempt_id", "run_ts", "invalid_reason")
-    sliced = prefix.with_slice(rows, prefix.time_position("run_ts"))
+    sliced = prefix.with_slice(rows, ["competition_id"], prefix.time_position("run_ts"))
     return prefix.running(sliced, ["competition_id"], [F.col("run_ts"), F.col("pipeline_id")], {"position": ("count", F.lit(1))})
 
 

@@ -43,7 +43,7 @@ def auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     by = list(keys)
     if not by:
         counted, by = counted.withColumn("_all", F.lit(1)), ["_all"]
-    cum = prefix.running(prefix.with_slice(counted, F.col("_p")), by, [F.col("_p")], {"_upto": ("sum", F.col("_neg"))})
+    cum = prefix.running(prefix.with_slice(counted, by, F.col("_p")), by, [F.col("_p")], {"_upto": ("sum", F.col("_neg"))})
     pairs = F.sum(F.col("_pos") * (F.col("_upto") - F.col("_neg") / 2))
     out = cum.groupBy(*by).agg(F.try_divide(pairs, F.sum("_pos").cast("double") * F.sum("_neg")).alias("score"))
     return out.select(*keys, "score")
@@ -67,7 +67,7 @@ def qwk(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
         base, by = df.withColumn("_all", F.lit(1)), ["_all"]
     cells = base.groupBy(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     classes = cells.select(*by, F.col("_y").alias("_c")).unionByName(cells.select(*by, F.col("_p").alias("_c"))).distinct()
-    sliced = prefix.with_slice(classes, F.xxhash64("_c") * 0) if dict(classes.dtypes)["_c"] == "string" else prefix.with_slice(classes, F.col("_c"))
+    sliced = prefix.with_slice(classes, by, F.lit(0) if dict(classes.dtypes)["_c"] == "string" else F.col("_c"))
     place = prefix.running(sliced, by, [F.col("_c")], {"_i": ("count", F.lit(1))})
     rows = cells.join(place.select(*by, F.col("_c").alias("_y"), F.col("_i")), [*by, "_y"]).join(place.select(*by, F.col("_c").alias("_p"), F.col("_i").alias("_j")), [*by, "_p"])
     n, i, j = F.col("_n"), F.col("_i"), F.col("_j")

@@ -1,10 +1,10 @@
-"""Order-dependent operators that never put one key into one task.
+"""Order-dependent operators that never put one hot key into one task.
 
-A running value over an ordered key is computed in two levels. The order column is cut into slices; every
-(key, slice) is a window partition of its own, so a key that holds a third of all rows is spread over as many
-tasks as it has slices. A second, pre-aggregated table holds one row per (key, slice); its running value over
-the earlier slices is the carry that is joined back. Rows that compare equal on the slice column share a slice,
-so the cut never changes the order.
+A running value over an ordered key is computed in two levels. The order column of a hot key is cut into slices and
+every (key, slice) is a window partition of its own, so a key that holds a third of all rows is spread over as many
+tasks as it has slices. A second, pre-aggregated table holds one row per slice; its running value over the earlier
+slices is the carry that is joined back, on the partitioning the window already has. Rows that compare equal on the
+slice column share a slice, so the cut never changes the order. All other keys keep their single shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import slice_count
+from ..session import HOT_SHARE, hot_rows, slice_count
 
 SLICE = "_slice"
 
@@ -23,18 +23,22 @@ def time_position(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def with_slice(df: DataFrame, position: Column, n: int | None = None) -> DataFrame:
-    """Add the slice number: equal-width ranges of ``position`` between its minimum and maximum.
+def with_slice(df: DataFrame, keys: Sequence[str], position: Column, n: int | None = None) -> DataFrame:
+    """Add the slice number: 0 for ordinary keys, 1 to n for hot ones (equal ranges of their ``position``).
 
-    The bounds come from one scalar subquery over the single column (two numbers reach the driver).
+    Hot are the keys above a ten-thousandth of all rows, so at most ten thousand rows are broadcast, at any scale.
+    They come from a count per key over the key and position columns only.
     """
-    n = n or slice_count(df.sparkSession)
-    value = position.cast("double")
-    bounds = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("b")).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    width = (hi - lo) / F.lit(float(n))
-    number = F.when((width > 0) & value.isNotNull(), F.least(F.floor((value - lo) / width), F.lit(n - 1)))
-    return df.withColumn(SLICE, F.coalesce(number, F.lit(0)).cast("int"))
+    spark = df.sparkSession
+    n = n or slice_count(spark)
+    pos = df.select(*keys, position.cast("double").alias("_pos"))
+    counts = pos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
+    limit = F.greatest(F.lit(float(hot_rows(spark))), counts.agg(F.sum("_rows")).scalar() * HOT_SHARE)
+    hot = counts.filter(F.col("_rows") > limit).select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / n).alias("_width"))
+    marked = df.join(F.broadcast(hot), list(keys), "left")
+    number = F.when(F.col("_width") > 0, F.least(F.floor((position.cast("double") - F.col("_lo")) / F.col("_width")), F.lit(n - 1)))
+    cut = F.when(F.col("_lo").isNull(), 0).otherwise(F.coalesce(number, F.lit(0)) + 1)
+    return marked.select(*df.columns, cut.cast("int").alias(SLICE))
 
 
 def hash_slice(df: DataFrame, digest: Column, hex_digits: int = 3) -> DataFrame:
@@ -43,7 +47,9 @@ def hash_slice(df: DataFrame, digest: Column, hex_digits: int = 3) -> DataFrame:
 
 
 def _carry(sliced: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]], order: Sequence[Column]) -> DataFrame:
-    """One row per (key, slice) with the combined value of all earlier slices."""
+    """One row per (hot key, slice) with the combined value of all earlier slices."""
+    if dict(sliced.dtypes)[SLICE] == "int":
+        sliced = sliced.filter(F.col(SLICE) > 0)
     rank = F.struct(*order) if order else None
     per_slice = []
     for name, (kind, col) in aggs.items():
@@ -130,7 +136,7 @@ def as_of(
     b = right.select(*keys, F.col(ts), F.lit(1).alias("_side"), F.col(tie).alias("_tie"),
                      F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_own"),
                      F.struct(*values).alias("_val"))
-    sliced = with_slice(a.unionByName(b), time_position(ts))
+    sliced = with_slice(a.unionByName(b), keys, time_position(ts))
     out = running(sliced, keys, [F.col(ts), F.col("_side"), F.col("_tie")], {"_hit": ("last", F.col("_val"))})
     return out.filter("_side = 0").select("_own.*", *[F.col(f"_hit.{v}").alias(prefix + v) for v in values])
 
@@ -160,7 +166,7 @@ def ordered_percentiles(df: DataFrame, keys: Sequence[str], value: Column, share
     two order statistics around each rank.
     """
     counted = df.select(*keys, value.cast("double").alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = running(with_slice(counted, F.col("_v")), keys, [F.col("_v")], {"_upto": ("sum", F.col("_c"))})
+    cum = running(with_slice(counted, keys, F.col("_v")), keys, [F.col("_v")], {"_upto": ("sum", F.col("_c"))})
     totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = cum.join(totals, list(keys))
     picks = []

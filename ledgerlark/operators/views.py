@@ -31,7 +31,7 @@ def stg_attempts_reflexion(attempts: DataFrame, competitions: DataFrame) -> Data
 
 
 def _with_running_best(staged: DataFrame) -> DataFrame:
-    sliced = prefix.with_slice(staged, prefix.time_position("run_ts"))
+    sliced = prefix.with_slice(staged, ["competition_id"], prefix.time_position("run_ts"))
     out = prefix.running(
         sliced, ["competition_id"], [F.col("run_ts"), F.col("attempt_id")],
         {"attempt_no": ("count", F.lit(1)), "_best": ("max", F.col("metric_sign") * F.col("cv_score"))},
@@ -183,7 +183,7 @@ def bandit_replay(attempts: DataFrame) -> DataFrame:
             F.col("label"), F.col("gain_vs_best"), F.col("error_trace"), noop_tie(F.col("gain_vs_best"), F.col("cv_score"))
         ).alias("_d"),
     )
-    sliced = prefix.with_slice(deltas, prefix.time_position("run_ts"))
+    sliced = prefix.with_slice(deltas, ["competition_id", "action_type"], prefix.time_position("run_ts"))
     sums = prefix.later_weighted_sum(
         sliced, ["competition_id", "action_type"], [F.col("run_ts"), F.col("attempt_id")],
         {"_a": F.col("_d.alpha"), "_b": F.col("_d.beta")}, BANDIT_DECAY,
@@ -275,7 +275,7 @@ def cv_lb_gap_trend(subs: DataFrame, attempts: DataFrame, competitions: DataFram
 
 
 def _with_previous(done: DataFrame) -> DataFrame:
-    sliced = prefix.with_slice(done, prefix.time_position("submitted_at"))
+    sliced = prefix.with_slice(done, ["competition_id"], prefix.time_position("submitted_at"))
     return prefix.previous(
         sliced, ["competition_id"], [F.col("submitted_at"), F.col("submission_id")],
         {"prev_cv": F.col("cv_score"), "prev_lb": F.col("lb_score")},
@@ -351,7 +351,7 @@ def lb_percentile(subs: DataFrame, board: DataFrame, competitions: DataFrame) ->
     done = done.join(signs, "competition_id").withColumn("_v", F.col("metric_sign") * F.col("lb_score"))
     points = done.select("competition_id", "_v").distinct().withColumn("_c", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
     merged = teams.withColumn("_side", F.lit(1)).unionByName(points)
-    cum = prefix.running(prefix.with_slice(merged, F.col("_v")), ["competition_id"], [F.col("_v"), F.col("_side")], {"_worse": ("sum", F.col("_c"))})
+    cum = prefix.running(prefix.with_slice(merged, ["competition_id"], F.col("_v")), ["competition_id"], [F.col("_v"), F.col("_side")], {"_worse": ("sum", F.col("_c"))})
     totals = teams.groupBy("competition_id").agg(F.sum("_c").alias("_n"))
     at = cum.filter("_side = 0").join(totals, "competition_id").select(
         "competition_id", "_v", (F.lit(100.0) * F.coalesce("_worse", F.lit(0)) / F.col("_n")).alias("lb_percentile")

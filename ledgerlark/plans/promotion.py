@@ -168,7 +168,7 @@ def reproduction_verdict(pipelines: DataFrame, attempts: DataFrame, rescored: Da
     """
     rows = listings.promotions(pipelines, attempts).drop("cv_score", "error_trace").join(pipelines.select("pipeline_id", "cv_score"), "pipeline_id")
     rows = rows.join(rescored, "pipeline_id", "left").join(competitions.select("competition_id", "metric_sign"), "competition_id")
-    sliced = prefix.with_slice(rows, prefix.time_position("run_ts"))
+    sliced = prefix.with_slice(rows, ["competition_id"], prefix.time_position("run_ts"))
     seen = F.when(F.col("new_cv").isNotNull(), F.struct(F.col("new_cv").alias("cv"), F.col("new_folds").alias("folds")))
     rows = prefix.running(sliced, ["competition_id"], [F.col("run_ts"), F.col("pipeline_id")], {"_prev": ("last", seen)}, before=True)
     stored = F.col("materialized_code").isNotNull()

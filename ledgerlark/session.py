@@ -30,6 +30,16 @@ def slice_count(spark: SparkSession) -> int:
     return int(configured) if configured else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# A key is hot when it holds more than this share of all rows, and at least ``ledgerlark.hotRows`` rows. The share
+# bounds the number of hot keys, whatever the size of the data.
+HOT_SHARE = 1.0 / 10_000
+
+
+def hot_rows(spark: SparkSession) -> int:
+    """Rows a key may put into one task of an ordered operator before it is cut into slices."""
+    return int(spark.conf.get("ledgerlark.hotRows", "1000000"))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the session; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

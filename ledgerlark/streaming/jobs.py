@@ -152,7 +152,7 @@ def recurrence_step(alert_from: int = 3) -> Step:
 
     def step(batch: DataFrame, state: DataFrame | None):
         errors = batch.filter("label = 'error' AND error_signature IS NOT NULL").select("attempt_id", "run_ts", *SIGNATURE_KEYS)
-        sliced = prefix.with_slice(errors, prefix.time_position("run_ts"))
+        sliced = prefix.with_slice(errors, SIGNATURE_KEYS, prefix.time_position("run_ts"))
         rows = prefix.running(sliced, SIGNATURE_KEYS, [F.col("run_ts"), F.col("attempt_id")], {"occurrence_no": ("count", F.lit(1))})
         if state is not None:
             rows = rows.join(state.withColumnRenamed("n", "_n"), SIGNATURE_KEYS, "left").withColumn("occurrence_no", F.col("occurrence_no") + F.coalesce("_n", F.lit(0))).drop("_n")
