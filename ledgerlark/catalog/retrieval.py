@@ -52,6 +52,14 @@ def _(t):
     return r(views.lesson_duplicates(t.lessons, threshold=0.30))
 
 
+@query("rt_near_duplicates_all", """SELECT a.competition_id, a.reflection_id AS reflection_id_a, b.reflection_id AS reflection_id_b,
+ round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos_sim FROM (SELECT * FROM lessons WHERE NOT archived) a
+ JOIN (SELECT * FROM lessons WHERE NOT archived) b ON a.competition_id = b.competition_id AND a.reflection_id < b.reflection_id
+ WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.30""")
+def _(t):
+    return r(views.lesson_duplicates_all(t.lessons, threshold=0.30, block=16))
+
+
 @query("rt_normalise", """WITH c AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings)
  SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first_value, 32 AS n, round(1e0, 4) AS length FROM c""")
 def _(t):

@@ -41,9 +41,12 @@ def with_slice(df: DataFrame, keys: Sequence[str], position: Column, n: int | No
     return marked.select(*df.columns, cut.cast("int").alias(SLICE))
 
 
-def hash_slice(df: DataFrame, digest: Column, hex_digits: int = 3) -> DataFrame:
+def hash_slice(df: DataFrame, digest: Column) -> DataFrame:
     """Slices by the leading hex digits of a digest: balanced by construction and ordered like the digest."""
-    return df.withColumn(SLICE, F.substring(digest, 1, hex_digits))
+    digits = 1
+    while 16**digits < slice_count(df.sparkSession):
+        digits += 1
+    return df.withColumn(SLICE, F.substring(digest, 1, digits))
 
 
 def _carry(sliced: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]], order: Sequence[Column]) -> DataFrame:

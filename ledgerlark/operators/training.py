@@ -2,7 +2,7 @@
 
 Splits and folds order rows by a digest of their id, so they do not depend on partitioning. Ranks inside a class
 are taken per (class, digest prefix) and shifted by the counts of the smaller prefixes: a class that holds most
-rows is spread evenly over 4096 window groups.
+rows is spread evenly over many window groups.
 """
 
 from __future__ import annotations
@@ -68,13 +68,20 @@ def dummy_target(df: DataFrame, train: DataFrame, target: str, row_id: str) -> D
 def string_codes(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(field, value, code): rank (from 0) of every distinct value of every column, in binary order.
 
-    All columns go through one distinct and one sliced prefix count; slices are the leading two bytes.
+    All columns go through one distinct and one prefix count. A column with very many values is sliced by the bytes
+    that follow the prefix all its values share (that of its smallest and largest value).
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in cols])).alias("p")
     values = train.select(pairs).select("p.*").filter("value IS NOT NULL").distinct()
-    sliced = values.withColumn(prefix.SLICE, F.rpad(F.substring(F.hex("value"), 1, 4), 4, "0"))
+    ends = values.groupBy("field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    same = F.zip_with(F.split("lo", ""), F.split("hi", ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, False)
+    shared = F.when(first > 0, first - 1).otherwise(F.length("lo")).cast("int").alias("_shared")
+    keyed = values.join(F.broadcast(ends.select("field", shared)), "field")  # one row per column of the frame
+    bytes_after = F.rpad(F.left(F.hex(F.substring("value", F.col("_shared") + 1, F.lit(6))), F.lit(12)), 12, "0")
+    sliced = prefix.with_slice(keyed, ["field"], F.conv(bytes_after, 16, 10))
     ranked = prefix.running(sliced, ["field"], [F.col("value")], {"code": ("count", F.lit(1))})
-    return ranked.withColumn("code", (F.col("code") - 1).cast("int"))
+    return ranked.select("field", "value", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:

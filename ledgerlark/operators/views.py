@@ -147,25 +147,58 @@ def lesson_duplicates(
     live = lessons.filter("NOT archived").select("reflection_id", "competition_id", "created_at", "embedding")
     recent = prefix.newest_per_key(live, ["competition_id"], [F.col("created_at").desc(), F.col("reflection_id").desc()], newest)
 
+    cols = recent.select("competition_id", "reflection_id", "embedding")
+    return cols.groupBy("competition_id").applyInPandas(_near_pairs(threshold), _pair_schema(lessons))
+
+
+def lesson_duplicates_all(lessons: DataFrame, threshold: float = DUPLICATE_COSINE, block: int = 512) -> DataFrame:
+    """The same over all live lessons, however many a competition has.
+
+    Lessons are spread over blocks by a hash of their id; a task compares two blocks (or one with itself), so it
+    holds about two blocks of vectors and no competition has to fit anywhere. The work grows with the square of a
+    competition's lessons, as any exact comparison does; the data moved grows with lessons times blocks.
+    """
+    live = lessons.filter("NOT archived").select("reflection_id", "competition_id", "embedding")
+    sizes = live.groupBy("competition_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
+    placed = live.join(sizes, "competition_id").withColumn("_own", F.pmod(F.xxhash64("reflection_id"), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
+    meeting = placed.select("competition_id", "reflection_id", "embedding", "_own", other)
+    meeting = meeting.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
+    keys = ["competition_id", "_lo", "_hi"]
+    return meeting.groupBy(*keys).applyInPandas(_near_pairs(threshold), _pair_schema(lessons))
+
+
+def _pair_schema(lessons: DataFrame) -> str:
+    kind = dict(lessons.select("competition_id", "reflection_id").dtypes)
+    return (
+        f"competition_id {kind['competition_id']}, reflection_id_a {kind['reflection_id']}, "
+        f"reflection_id_b {kind['reflection_id']}, cos_sim double"
+    )
+
+
+def _near_pairs(threshold: float):
+    """Pairs above the threshold within a group of vectors; between two blocks if the group has a block column."""
+
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("reflection_id")
         vectors = np.stack(group["embedding"].to_numpy()).astype("float64")
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-        sim = vectors @ vectors.T
-        a, b = np.nonzero(np.triu(sim > threshold, k=1))
         ids = group["reflection_id"].to_numpy()
+        left = right = np.arange(len(ids))
+        if "_own" in group and group["_lo"].iloc[0] != group["_hi"].iloc[0]:
+            own = group["_own"].to_numpy()
+            left, right = np.nonzero(own == group["_lo"].iloc[0])[0], np.nonzero(own == group["_hi"].iloc[0])[0]
+        sim = vectors[left] @ vectors[right].T
+        near = sim > threshold
+        if left is right:
+            near = np.triu(near, k=1)
+        i, j = np.nonzero(near)
+        a, b = ids[left[i]], ids[right[j]]
         return pd.DataFrame({
-            "competition_id": group["competition_id"].iloc[0], "reflection_id_a": ids[a], "reflection_id_b": ids[b],
-            "cos_sim": sim[a, b],
+            "competition_id": group["competition_id"].iloc[0], "reflection_id_a": np.minimum(a, b), "reflection_id_b": np.maximum(a, b),
+            "cos_sim": sim[i, j],
         })
 
-    kind = dict(lessons.select("competition_id", "reflection_id").dtypes)
-    schema = (
-        f"competition_id {kind['competition_id']}, reflection_id_a {kind['reflection_id']}, "
-        f"reflection_id_b {kind['reflection_id']}, cos_sim double"
-    )
-    cols = recent.select("competition_id", "reflection_id", "embedding")
-    return cols.groupBy("competition_id").applyInPandas(pairs, schema)
+    return pairs
 
 
 # --- bandit ---------------------------------------------------------------------------------------------------------

@@ -26,18 +26,18 @@ def build_session(app: str = "ledgerlark", master: str | None = None, **conf: ob
 
 def slice_count(spark: SparkSession) -> int:
     """How many ordered slices an order-dependent operator cuts a key into (4 per shuffle partition)."""
-    configured = spark.conf.get("ledgerlark.slices", None)
+    configured = spark.conf.get("spark.ledgerlark.slices", None)
     return int(configured) if configured else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# A key is hot when it holds more than this share of all rows, and at least ``ledgerlark.hotRows`` rows. The share
+# A key is hot when it holds more than this share of all rows, and at least ``spark.ledgerlark.hotRows`` rows. The share
 # bounds the number of hot keys, whatever the size of the data.
 HOT_SHARE = 1.0 / 10_000
 
 
 def hot_rows(spark: SparkSession) -> int:
     """Rows a key may put into one task of an ordered operator before it is cut into slices."""
-    return int(spark.conf.get("ledgerlark.hotRows", "1000000"))
+    return int(spark.conf.get("spark.ledgerlark.hotRows", "1000000"))
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -18,22 +18,10 @@ def write_snapshot(df: DataFrame, path: str) -> DataFrame:
 
 
 def leaderboard_scores(df: DataFrame, score: str = "Score") -> DataFrame:
-    """Leaderboard rows whose score parses as a number, in long form (one row per team)."""
+    """Leaderboard rows whose score parses as a number; one row per team, so no leaderboard has to fit into one value."""
     return df.withColumn("score", F.expr(f"try_cast(`{score}` AS double)")).filter("score IS NOT NULL")
 
 
-def leaderboard_snapshot(scores: DataFrame, rank: str) -> DataFrame:
-    """One row per competition with the scores in rank order, as the stored snapshot holds them.
-
-    The analytics read the long form; this array form is for export of one leaderboard at a time.
-    """
-    pair = F.struct(F.col(rank), F.col("score"))
-    return scores.groupBy("competition_id").agg(
-        F.count(F.lit(1)).alias("n_teams"),
-        F.transform(F.sort_array(F.collect_list(pair)), lambda s: s["score"]).alias("scores"),
-    )
-
-
 def parse_submission_listing(lines: DataFrame, line: str = "value") -> DataFrame:
     """Listing lines ``description,status,publicScore`` without the warnings the tool prints before them.
 
