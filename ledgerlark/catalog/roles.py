@@ -164,18 +164,20 @@ class Roles:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-
-    def _role(self, name: str) -> DataFrame:
-        source, where, exprs, has_k = _BOUND[name]
-        return project(self.raw(source), name)
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in _BOUND:
-            return self._role(name)
-        raise AttributeError(name)
+        if name not in _BOUND:
+            raise AttributeError(name)
+        key = f"role {name}"
+        if key not in self._frames:
+            self._frames[key] = project(self.raw(_BOUND[name][0]), name)
+        return self._frames[key]
 
     @cached_property
     def signed_attempts(self) -> DataFrame:

@@ -167,17 +167,17 @@ def fingerprint(df: DataFrame, target: str, task: str, metric: str, sign: int) -
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-def _twin_keys(c: str) -> list[Column]:
-    """A value as number and as text, so numbers written differently meet and nulls equal nulls."""
-    number = F.col(c).cast("string").try_cast("double")
-    text = F.when(number.isNotNull(), "#").otherwise(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("\0")))
-    return [F.coalesce(number, F.lit(0.0)).alias(f"_num_{c}"), text.alias(f"_text_{c}")]
+def _twin_keys(cols: Sequence[str]) -> list[Column]:
+    """Every value as number, so numbers written differently meet, and one text key of all values that are none."""
+    numbers = {c: F.col(c).cast("string").try_cast("double") for c in cols}
+    texts = [F.when(n.isNotNull(), "#").otherwise(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("\0"))) for c, n in numbers.items()]
+    return [F.concat_ws("\1", *texts).alias("_text"), *[F.coalesce(n, F.lit(0.0)).alias(f"_num_{c}") for c, n in numbers.items()]]
 
 
 def remove_twins(extra: DataFrame, base: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Extra rows that equal no base row on all common columns; one row per base key enters the join."""
-    keys = [k for c in cols for k in _twin_keys(c)]
-    names = [f"_{kind}_{c}" for c in cols for kind in ("num", "text")]
+    keys = _twin_keys(cols)
+    names = ["_text", *[f"_num_{c}" for c in cols]]
     return extra.select("*", *keys).join(base.select(*keys).distinct(), names, "left_anti").drop(*names)
 
 
@@ -209,10 +209,11 @@ def merge_source(base: DataFrame, extra: DataFrame, target: str) -> DataFrame:
     loaded = extra.select(*common)
     usable = target_present(loaded, target)
     kept = remove_twins(usable, base, common)
-    n = lambda df: df.agg(F.count(F.lit(1)))
-    removed = n(usable).scalar() - n(kept).scalar()
+    def n(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
     message = F.lit("more than half of the extra rows are twins of base rows")
-    guard = F.when(removed > TWIN_ABORT_SHARE * n(loaded).scalar(), F.raise_error(message).cast("boolean")).otherwise(True)
+    guard = F.when(n(usable) - n(kept) > TWIN_ABORT_SHARE * n(loaded), F.raise_error(message).cast("boolean")).otherwise(True)
     return kept.filter(guard)
 
 

@@ -17,6 +17,7 @@ def build_session(app: str = "ledgerlark", master: str | None = None, **conf: ob
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():
