@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import summaries as S, training, views
 from . import query
+from .roles import numeric
 from .shared import EVENTS_NOW, ORDERS_NOW, TUNES_NOW, at, r
 from .views import COLD, LB_CALIBRATION, PROGRESS
 
@@ -167,7 +168,7 @@ def _(t):
 
 @query("agg_warm_start", f"""WITH s AS (SELECT competition_id, name, round(max(CASE WHEN stage = 'bootstrap' THEN best_so_far END), 5) AS bootstrap_best,
  round(max(best_so_far), 5) AS overall_best FROM ({COLD}) AS c JOIN competitions USING (competition_id) GROUP BY 1, 2)
- SELECT *, CASE WHEN overall_best <> 0 THEN round(bootstrap_best / overall_best, 4) END AS warm_start_ratio FROM s""")
+ SELECT *, CASE WHEN overall_best <> 0 THEN {numeric('bootstrap_best / overall_best', 4)} END AS warm_start_ratio FROM s""")
 def _(t):
     return S.warm_start(views.cold_start_progression(t.attempts, t.competitions), t.competitions)
 
@@ -192,9 +193,9 @@ def _(t):
     return S.duplicate_gain(t.attempts)
 
 
-@query("agg_kill_stage", """SELECT nullif(regexp_extract(error_trace, '\\[last_progress\\] stage=(\\S+)( fold=\\d+/\\d+)?', 1), '') AS stage,
+@query("agg_kill_stage", f"""SELECT nullif(regexp_extract(error_trace, '\\[last_progress\\] stage=(\\S+)( fold=\\d+/\\d+)?', 1), '') AS stage,
  nullif(regexp_extract(error_trace, '\\[last_progress\\] stage=\\S+ (fold=\\d+/\\d+)', 1), '') AS fold, count(*) AS n,
- round(sum(peak_cpu_sec) / 36e2, 1) AS cpu_h FROM attempts WHERE error_trace LIKE 'cpu budget exceeded%'
+ {numeric('sum(peak_cpu_sec) / 36e2', 1)} AS cpu_h FROM attempts WHERE error_trace LIKE 'cpu budget exceeded%'
  AND error_trace LIKE '%[last_progress]%' GROUP BY 1, 2""")
 def _(t):
     return S.kill_stages(t.attempts)

@@ -237,10 +237,15 @@ def signature_sql(col: str) -> str:
     )
 
 
+def numeric(expr: str, digits: int) -> str:
+    """Decimal rounding, half away from zero, of a double: the rounding the views define."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(30, 12)), {digits}) AS DOUBLE)"
+
+
 _DERIVED = {
     "signed_attempts": f"SELECT *, {signature_sql('error_trace')} AS error_signature FROM attempts",
-    "impact": """SELECT reflection_id, count(*) AS times_applied, round(avg(g), 5) AS avg_gain,
- CAST(count(*) FILTER (WHERE g > 0) AS BIGINT) AS jumps, round(max(g), 5) AS best_jump
+    "impact": f"""SELECT reflection_id, count(*) AS times_applied, {numeric('avg(g)', 5)} AS avg_gain,
+ CAST(count(*) FILTER (WHERE g > 0) AS BIGINT) AS jumps, {numeric('max(g)', 5)} AS best_jump
  FROM (SELECT unnest(reflection_ids) AS reflection_id, gain_vs_best_relative / len(reflection_ids) AS g FROM attempts
  WHERE stage = 'reflexion' AND was_promoted IS NOT FALSE AND gain_vs_best_relative IS NOT NULL
  AND reflection_ids IS NOT NULL) GROUP BY reflection_id""",
