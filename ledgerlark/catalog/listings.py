@@ -46,9 +46,9 @@ def _(t):
     return L.submittable(t.pipelines, t.attempts).select("pipeline_id", "competition_id", "prior_snapshot")
 
 
-@query("flt_tristate", "SELECT attempt_id, was_promoted FROM attempts WHERE was_promoted IS NOT FALSE")
+@query("flt_tristate", "SELECT attempt_id, CAST(was_promoted AS VARCHAR) AS was_promoted FROM attempts WHERE was_promoted IS NOT FALSE")
 def _(t):
-    return t.attempts.filter(rules.is_not_false(F.col("was_promoted"))).select("attempt_id", "was_promoted")
+    return t.attempts.filter(rules.is_not_false(F.col("was_promoted"))).select("attempt_id", F.col("was_promoted").cast("string").alias("was_promoted"))
 
 
 @query("flt_like", """SELECT attempt_id, error_trace LIKE '%rc=-9%' AS oom, starts_with(error_trace, 'cpu budget exceeded') AS cpu FROM attempts
