@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, suffixes, toxicity
+from . import bpe, exact_dedup, mixing, simhash, sketches, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query()
+def op8_fingerprints(spark, sf_dir):
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
