@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, mixing, simhash, sketches, suffixes, toxicity
+from . import bpe, chat, exact_dedup, fixity, mixing, secrets, simhash, sketches, suffixes, toxicity
+from .common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,22 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(r"""
+WITH r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'null')
+  || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+  || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+p AS (SELECT page_id, strlen(record) AS length, sum(strlen(record)) OVER (ORDER BY page_id NULLS LAST, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record) AS spot FROM r),
+f AS (SELECT page_id, length, spot // 67108864 AS file, spot FROM p),
+o AS (SELECT *, spot - min(spot) OVER (PARTITION BY file) AS start, CAST('0x' || substr(md5('fault:' || coalesce(CAST(page_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % 97 AS draw FROM f)
+SELECT CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, page_id, CASE draw WHEN 0 THEN 'changed' ELSE 'missing' END AS finding FROM o WHERE draw < 2
+""")
+def op3_warc_fixity(spark, sf_dir):
+    records = fixity.with_faults(fixity.warc_records(table(spark, sf_dir, "pages")))
+    placed = stored(fixity.laid_out(records))
+    replica = placed.filter("copy_digest is not null").withColumn("digest", F.col("copy_digest"))
+    return fixity.audit(fixity.leaves(placed), fixity.leaves(replica))
+
+
 @query()
 def op4_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -63,6 +80,26 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+CONTROL_CASE = '{"conv_id": -1, "messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'), '<s>', '&lt;s>'), '</s>', '&lt;/s>'), '[INST]', '&lsqb;INST]'), '[/INST]', '&lsqb;/INST]') AS safe FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(length('<|turn|>' || role || chr(10) || safe || '<|end|>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op6_chat_format(spark, sf_dir):
+    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
+    rows = table(spark, sf_dir, "conversations").select("conv_id", record.alias("record"))
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(CONTROL_CASE).alias("record"))
+    return chat.conversation_digests(chat.format_turns(chat.canonical_turns(rows.union(extra))))
+
+
 @query()
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +111,13 @@ def op8_fingerprints(spark, sf_dir):
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_secret_scan(spark, sf_dir):
+    found = stored(secrets.candidates(table(spark, sf_dir, "documents")))
+    scored = secrets.score(found, secrets.fit(secrets.verified(found)))
+    return scored.select("doc_id", "start", F.char_length("candidate").cast("bigint").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 @query()
 def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
