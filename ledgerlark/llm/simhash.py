@@ -10,8 +10,9 @@ are verified bit by bit. A list gives a spanning forest of its links instead of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,13 @@ from .common import components, free_name, id_key, stored, whole
 
 BITS, MAX_BITS, MIN_BYTES = 64, 3, 5
 PLANES = [[p for p in range(8) if bin(p & a).count("1") % 2 == c] for a in range(1, 8) for c in (0, 1)]
+
+
+def lists_for(min_bytes: int) -> list:
+    """Sets of positions that key the posting lists: any ``min_bytes`` positions contain one of them."""
+    return PLANES if min_bytes >= MIN_BYTES else [list(c) for c in combinations(range(8), min_bytes)]
+
+
 BLOCK = 2048
 CHUNK = 1 << 16
 
@@ -54,7 +62,7 @@ def fingerprint(text: Column, width: int) -> Column:
     return hashed(text)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+def _forest(a: np.ndarray, b: np.ndarray, max_bits: int, min_bytes: int) -> Iterator[tuple[int, int]]:
     """Spanning forest of the links between two sorted blocks (or within one), found row by row with a union-find."""
     same = a is b
     values = a if same else np.concatenate([a, b])
@@ -71,8 +79,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
         rest = a[i + 1:] if same else b
         x = rest ^ v
         shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        near = np.flatnonzero(shared >= MIN_BYTES)  # tally of positional bytes, then the bits
-        near = near[np.bitwise_count(x[near]) <= MAX_BITS]
+        near = np.flatnonzero(shared >= min_bytes)  # tally of positional bytes, then the bits
+        near = near[np.bitwise_count(x[near]) <= max_bits]
         for j in near:
             k = int(j) + (i + 1 if same else shift)
             p, q = find(i), find(k)
@@ -81,14 +89,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield int(v), int(values[k])
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _links(forest: Callable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by (plane, bytes, left, right); a block pair is complete when its key changes. Memory: two blocks."""
     key, held = None, []
 
     def flush() -> list:
         left = np.unique(np.array([f for f, s in held if s != 2], np.int64).view(np.uint64))
         right = np.unique(np.array([f for f, s in held if s == 2], np.int64).view(np.uint64))
-        return list(_forest(left, right) if len(right) else _forest(left, left))
+        return list(forest(left, right) if len(right) else forest(left, left))
 
     out: list = []
     for batch in batches:
@@ -111,13 +119,14 @@ def _edges(pairs: list) -> pd.DataFrame:
     return pd.DataFrame({"a": values[:, 0], "b": values[:, 1]})
 
 
-def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links of at most 3 bits.
+def links(prints: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links: pairs that share at least
+    ``min_bytes`` positional bytes and differ in at most ``max_bits`` bits. Up to 8 - min_bytes bits the first follows from the second.
 
     Lists of one fingerprint are dropped before any pair is looked at. A list longer than ``block`` is cut into blocks, and
     every pair of its blocks is a piece of work of its own.
     """
-    masks = [(i, sum(0xFF << (8 * p) for p in plane)) for i, plane in enumerate(PLANES)]
+    masks = [(i, sum(0xFF << (8 * p) for p in positions)) for i, positions in enumerate(lists_for(min_bytes))]
     signed = [(i, m - (1 << 64) if m >> 63 else m) for i, m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("plane"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in signed])
     posted = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.plane", "k.part")
@@ -129,30 +138,30 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.select("plane", "part", F.least("own", "mate").alias("left"), F.greatest("own", "mate").alias("right"),
                        F.when(F.col("own") > F.col("mate"), 2).otherwise(1).alias("side"), "fp")
     work = ["plane", "part", "left", "right"]
-    return rows.repartition(*work).sortWithinPartitions(*work).mapInPandas(_links, "a bigint, b bigint")
+    return rows.repartition(*work).sortWithinPartitions(*work).mapInPandas(partial(_links, partial(_forest, max_bits=max_bits, min_bytes=min_bytes)), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest id that can be reached over links of at most 3 bits).
+def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (smallest id that can be reached over links between fingerprints).
 
     Null texts count as empty; texts without words have fingerprint 0 and link like any other. Null ids are reached but never
     name a component unless it has no other id. Repeated rows are repeated in the result. Empty in, empty out.
     """
     prints = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(whole(), width).alias("fp")))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fp"), block))
+    roots = components(links(nodes.select("fp"), max_bits, min_bytes, block))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     names = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
     """The document with the smallest id of each component, with all its columns.
 
     Components without any id keep one row, and so do rows that repeat that id: the first by fingerprint and other columns.
     """
-    found = near_duplicates(docs, width, block)
+    found = near_duplicates(docs, width, max_bits, min_bytes, block)
     key, fp, nth = (free_name(docs, c) for c in ("_id_key", "_fp", "_nth"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(id_key(F.col("doc_id")).alias(key)).agg(F.min("fp").alias(fp))
     first = Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"], F.xxhash64(whole()))

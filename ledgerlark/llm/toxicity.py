@@ -168,9 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_terms
         if not bad or not good:
             return Model()
         counts = rows.mapInPandas(_term_counts, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        counts = counts.persist()
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-        strong = counts.filter(F.col("bad") >= max(3, bad // 200)).withColumn("odds", odds).filter("odds > 3")
+        # of as many terms as there are, about one in ten such tables has one that gets so far from even odds by chance
+        n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
+        part = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (n * share))).otherwise(0.0)
+        chance = math.log(10 * max(1, counts.count()))
+        strong = counts.withColumn("odds", odds).filter((F.col("odds") > 2) & (part(F.col("bad"), rate) + part(F.col("good"), 1 - rate) > chance))
         found = strong.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(most_terms).collect()
+        counts.unpersist()
         model = Model({r["term"]: float(r["odds"]) for r in found})
 
         def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
