@@ -67,7 +67,7 @@ def _(t):
     return S.recent_failures(t.attempts)
 
 
-FAILURES = f"""SELECT competition_id, string_agg(action_type || ': ' || left(coalesce(hypothesis, ''), 60), '; ' ORDER BY rn) AS summary
+FAILURES = f"""SELECT competition_id, string_agg(action_type || ': ' || coalesce(hypothesis, ''), '; ' ORDER BY rn) AS summary
  FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE label = 'regression' OR error_trace IS NOT NULL) WHERE rn <= 5 GROUP BY 1"""
 
 
@@ -99,7 +99,7 @@ def _(t):
  arg_max(coalesce(hypothesis, ''), (run_ts, attempt_id)) AS hypothesis, max(run_ts) AS last FROM ({SINCE}) AS x
  WHERE error_trace IS NULL AND gain_vs_best IS NOT NULL GROUP BY 1, 2, 3),
  p AS (SELECT *, row_number() OVER (PARTITION BY competition_id ORDER BY cnt DESC, last DESC, action_type, gain) AS place FROM g)
- SELECT competition_id, action_type, gain, cnt, left(trim(regexp_replace(hypothesis, '\\s+', ' ', 'g')), 100) AS hypothesis, place FROM p WHERE place <= 24""")
+ SELECT competition_id, action_type, gain, cnt, trim(regexp_replace(hypothesis, '\\s+', ' ', 'g')) AS hypothesis, place FROM p""")
 def _(t):
     return S.tried_on_base(t.attempts, t.pipelines).withColumn("place", F.col("place").cast("long"))
 
@@ -261,7 +261,7 @@ def _(t):
 
 
 @query("win_fold1_dedup", f"""SELECT competition_id, fold_scores[1] AS fold1, arg_min(attempt_id, rn) AS attempt_id, round(arg_min(list_sum(fold_scores), rn), 6) AS fold_total
- FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE len(fold_scores) = 5) WHERE rn <= 200 GROUP BY 1, 2""")
+ FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE len(fold_scores) = 5) GROUP BY 1, 2""")
 def _(t):
     from ..functions import arrays
 

@@ -29,12 +29,12 @@ def _(t):
 
 @query("dc_assign_actions")
 def _(t):
-    return fleet.assign_actions(t.bandit, t.attempts, 3, seed=42)
+    return fleet.assign_actions(t.bandit, t.attempts, t.competitions, 3, seed=42)
 
 
 @query("dc_action_prior")
 def _(t):
-    return fleet.action_prior(t.bandit, seed=42)
+    return fleet.action_prior(t.bandit, t.competitions, seed=42)
 
 
 # Winning attempts as candidates; scores on the confirm seeds and the holdout shifted by the attempt's k.
@@ -202,10 +202,17 @@ REFILL = """WITH lr AS (SELECT competition_id, max(run_ts) AS l FROM attempts GR
  epoch(TIMESTAMP '{now}' - l) > CASE WHEN st = 'done' THEN 0 ELSE 6 * 3600 END)"""
 
 
-@query("dc_queue_refill", "WITH q AS (SELECT * FROM queue WHERE status <> 'pending'), " + REFILL[5:].format(now="2024-01-30 20:00:00"))
+_FINISHED = "SELECT * REPLACE (CASE WHEN status IN ('pending', 'running') THEN 'done' ELSE status END AS status) FROM queue"
+
+
+@query("dc_queue_refill", "SELECT 'as it is' AS queue_state, * FROM (WITH q AS (SELECT * FROM queue), " + REFILL[5:].format(now="2024-01-30 20:00:00")
+       + f") AS x UNION ALL SELECT 'finished', * FROM (WITH q AS ({_FINISHED}), " + REFILL[5:].format(now="2024-01-30 20:00:00") + ") AS y")
 def _(t):
-    """The queue after all pending rows were taken and finished."""
-    return fleet.plan_refill(t.queue.filter("status <> 'pending'"), t.attempts, t.competitions, at("2024-01-30 20:00:00"))
+    """What is enqueued now, and once everything that is pending or running is done."""
+    now = at("2024-01-30 20:00:00")
+    done = t.queue.withColumn("status", F.when(F.col("status").isin("pending", "running"), "done").otherwise(F.col("status")))
+    plans = [fleet.plan_refill(q, t.attempts, t.competitions, now).withColumn("queue_state", F.lit(s)) for s, q in (("as it is", t.queue), ("finished", done))]
+    return plans[0].unionByName(plans[1])
 
 
 @query("dc_tune_plan", f"""WITH l AS (SELECT competition_id, max(created_at) AS last_tune_at FROM tunes GROUP BY 1), g AS (SELECT competition_id, tuning_run_id, bool_or(improved) AS good, max(created_at) AS ts FROM tunes GROUP BY 1, 2),
@@ -223,7 +230,7 @@ def _(t):
     return r(fleet.backfill_percentiles(t.subs, t.board, t.competitions).select("submission_id", "lb_percentile"))
 
 
-@query("dc_health", f"""WITH fu AS ({FUNNEL.replace("WITH w", "WITH w", 1)}), jp AS (SELECT competition_id, count(*) FILTER (WHERE label = 'jump') AS j FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE stage = 'reflexion') WHERE rn <= 10 GROUP BY 1),
+@query("dc_health", f"""WITH fu AS ({FUNNEL}), jp AS (SELECT competition_id, count(*) FILTER (WHERE label = 'jump') AS j FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE stage = 'reflexion') WHERE rn <= 10 GROUP BY 1),
  be AS (SELECT scope_key AS competition_id, max(posterior_mean) - min(posterior_mean) AS ps, coalesce(max(calibration_gap), 0) AS cg FROM ({CALIBRATION}) AS c GROUP BY 1),
  pi AS (SELECT competition_id, sum(occurrences_after_active) / sum(total) AS rr FROM ({RECURRENCE}) AS x WHERE pitfall_active GROUP BY 1),
  sx AS (SELECT competition_id, (label = 'error')::INT AS e, rn, count(*) OVER (PARTITION BY competition_id) AS n FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE stage = 'reflexion') WHERE rn <= 200),

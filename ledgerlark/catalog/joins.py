@@ -120,16 +120,16 @@ def _(t):
 
 
 @query("set_union_distinct", """WITH a AS (SELECT DISTINCT concat('{"q":', CAST(l_quantity AS INT), '}') AS cand, CAST(l_quantity AS INT) AS pos FROM lineitem WHERE l_returnflag = 'A'),
- b AS (SELECT DISTINCT concat('{"q":', CAST(l_quantity AS INT) + 10, '}') AS cand, CAST(l_quantity AS INT) AS pos FROM lineitem WHERE l_returnflag = 'R'),
+ b AS (SELECT DISTINCT concat('{"q":', CAST(l_quantity AS INT) + 10, '}') AS cand, CAST(l_quantity AS INT) AS pos FROM lineitem WHERE l_returnflag <> 'A'),
  u AS (SELECT *, 0 AS source_list FROM a UNION ALL SELECT *, 1 FROM b),
  n AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY source_list, pos) AS rn FROM u) SELECT cand, source_list, pos FROM n WHERE rn = 1""")
 def _(t):
-    def side(flag, shift):
+    def side(first, shift):
         q = F.col("l_quantity").cast("int")
-        rows = t.raw("lineitem").filter(F.col("l_returnflag") == flag)
+        rows = t.raw("lineitem").filter((F.col("l_returnflag") == "A") == F.lit(first))
         return rows.select(F.to_json(F.struct((q + shift).alias("q"))).alias("cand"), q.alias("pos")).distinct()
 
-    return T.union_candidates(side("A", 0), side("R", 10), "cand", "pos")
+    return T.union_candidates(side(True, 0), side(False, 10), "cand", "pos")
 
 
 # --- table maintenance -------------------------------------------------------------------------------------------------

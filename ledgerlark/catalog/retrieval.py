@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import DUPLICATE_NEWEST
 from ..functions import arrays
 from ..operators import listings as L, retrieval as R, summaries as S, views
 from . import query
@@ -49,7 +50,7 @@ def _(t):
 
 @query("rt_near_duplicates", DUPLICATES.replace("> 0.90", "> 0.30"))
 def _(t):
-    return r(views.lesson_duplicates(t.lessons, threshold=0.30))
+    return r(views.lesson_duplicates(t.lessons, threshold=0.30, newest=DUPLICATE_NEWEST))
 
 
 @query("rt_near_duplicates_all", """SELECT a.competition_id, a.reflection_id AS reflection_id_a, b.reflection_id AS reflection_id_b,

@@ -37,6 +37,7 @@ _ATTEMPTS = {
     "cv_fold_var": "CASE WHEN event_type <> 'error' AND k % 13 <> 0 THEN k * 1e-2 END",
     "fold_scores": "CASE WHEN event_type <> 'error' AND k % 17 <> 0 THEN "
     "{arr}(value - 5e-1, value - 25e-2, value, value + 25e-2, value + 5e-1 + k * 1e-2) END",
+    "lb_score": "CASE WHEN event_type = 'purchase' THEN value + k * 1e-2 END",
     "label": _LABEL,
     "gain_vs_best": "CASE WHEN event_type <> 'error' THEN (value - 5e1) / 1e2 END",
     "gain_vs_best_relative": "CASE WHEN event_type NOT IN ('error', 'click') THEN (value - 5e1) / 2e2 END",
@@ -244,11 +245,11 @@ def numeric(expr: str, digits: int) -> str:
 
 _DERIVED = {
     "signed_attempts": f"SELECT *, {signature_sql('error_trace')} AS error_signature FROM attempts",
-    "impact": f"""SELECT reflection_id, count(*) AS times_applied, {numeric('avg(g)', 5)} AS avg_gain,
- CAST(count(*) FILTER (WHERE g > 0) AS BIGINT) AS jumps, {numeric('max(g)', 5)} AS best_jump
- FROM (SELECT unnest(reflection_ids) AS reflection_id, gain_vs_best_relative / len(reflection_ids) AS g FROM attempts
- WHERE stage = 'reflexion' AND was_promoted IS NOT FALSE AND gain_vs_best_relative IS NOT NULL
- AND reflection_ids IS NOT NULL) GROUP BY reflection_id""",
+    "impact": f"""SELECT c.reflection_id, count(*) AS times_applied, {numeric('sum(share) / count(*)', 5)} AS avg_gain,
+ sum(CASE WHEN share > 0 THEN 1 ELSE 0 END)::BIGINT AS jumps, {numeric('max(share)', 5)} AS best_jump
+ FROM (SELECT attempt_id, unnest(reflection_ids) AS reflection_id FROM attempts) c
+ JOIN (SELECT attempt_id, gain_vs_best_relative / len(reflection_ids) AS share FROM attempts WHERE coalesce(was_promoted, true) AND stage = 'reflexion') USING (attempt_id)
+ WHERE share IS NOT NULL GROUP BY 1""",
     "bandit": """SELECT 'local' AS scope, competition_id AS scope_key, action_type,
  1e0 + sum(da * pow(95e-2, later)) AS alpha, 1e0 + sum(db * pow(95e-2, later)) AS beta, count(*) AS updates FROM (
  SELECT competition_id, action_type,

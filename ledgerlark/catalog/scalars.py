@@ -27,7 +27,7 @@ def _(t):
 
 @query("fn_code_facts", f"""WITH s AS (SELECT page_id, concat('{WORDS.replace("{0}", "")}', html) AS src FROM pages)
  SELECT page_id, array_to_string(list_distinct_ordered, ',') AS models, array_to_string(cols, ',') AS columns, array_to_string(wts, ',') AS weighting FROM (SELECT page_id,
- list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered, list_filter(c, lambda x, i: list_position(c, x) = i)[1:60] AS cols,
+ list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_ordered, list_filter(c, lambda x, i: list_position(c, x) = i) AS cols,
  list_filter(w, lambda x, i: list_position(w, x) = i) AS wts FROM (SELECT page_id, regexp_extract_all(src, '{text.MODEL_CLASS}') AS m,
  regexp_extract_all(src, '{text.ALIAS_CALL.replace("'", "''")}', 1) AS c, regexp_extract_all(src, '{text.WEIGHTING_WORD}', 1) AS w FROM s))""".replace("x.alias('n_')", "x.alias(''n_'')"))
 def _(t):

@@ -29,7 +29,7 @@ def _(t):
 
 
 @query("src_ledger", """SELECT CAST(attempt_id AS VARCHAR) AS attempt_id, CAST(competition_id AS VARCHAR) AS competition_id, run_ts, stage, cv_score, label, lb_score
- FROM (SELECT *, CAST(NULL AS DOUBLE) AS lb_score FROM attempts)""")
+ FROM (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS lb_score) FROM attempts)""")
 def _(t):
     root = work_dir(t.spark)
     cols = ["run_ts", "stage", "cv_score", "label", "fold_scores"]

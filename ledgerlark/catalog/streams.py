@@ -14,14 +14,27 @@ DELAY = "1 hour"
 MARK = "(SELECT max(run_ts) - INTERVAL 1 HOUR FROM attempts)"
 
 
-def _stream(t, table: str):
+BATCHES = 4
+_split: dict[tuple, str] = {}
+
+
+def _stream(t, table: str, ts: str):
+    """The whole table as a stream of four micro-batches in order of time, from files written once per session."""
     source = t.raw(table)
-    return t.spark.readStream.schema(source.schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.dir)
+    key = (t.spark.sparkContext.applicationId, t.dir, table)
+    if key not in _split:
+        cuts = source.agg(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0]
+        place = sum(((F.unix_micros(F.col(ts).cast("timestamp")) > c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+        path = work_dir(t.spark)
+        for i in range(BATCHES):  # one append after the other, so the files are in order of time
+            source.filter(F.coalesce(place, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+        _split[key] = path
+    return t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(_split[key])
 
 
 def _attempts(t):
     """Attempts as a stream; event time as TIMESTAMP, which watermarks need."""
-    return roles.project(_stream(t, "events"), "attempts").withColumn("run_ts", F.col("run_ts").cast("timestamp"))
+    return roles.project(_stream(t, "events", "ts"), "attempts").withColumn("run_ts", F.col("run_ts").cast("timestamp"))
 
 
 def _plain(df):
@@ -53,7 +66,8 @@ def _(t):
 @query("st_dedup", """SELECT competition_id, sha256(concat_ws('|', printf('%,.9f', cv_score), array_to_string(list_transform(coalesce(fold_scores, []), lambda x: printf('%,.9f', x)), ','))) AS behaviour
  FROM attempts WHERE cv_score IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    return J.run_append(J.stream_dedup(_attempts(t).filter("cv_score IS NOT NULL"), DELAY), work_dir(t.spark))
+    # repeats are dropped within the watermark; this one spans the whole table
+    return J.run_append(J.stream_dedup(_attempts(t).filter("cv_score IS NOT NULL"), "3650 days"), work_dir(t.spark))
 
 
 @query("st_progress", PROGRESS)
@@ -77,19 +91,19 @@ def _(t):
 @query("st_stagnation", f"""SELECT competition_id, count(*) FILTER (WHERE label = 'jump') AS jumps_in_window, coalesce(min(rn) FILTER (WHERE label = 'jump') - 1, count(*)) AS stagnant_for,
  coalesce(min(rn) FILTER (WHERE label = 'jump') - 1, count(*)) >= 3 AS is_stagnant FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE was_promoted) WHERE rn <= 5 GROUP BY 1""")
 def _(t):
-    return J.Incremental(t.spark, work_dir(t.spark), J.stagnation_step()).run(_attempts(t)).rows()
+    return J.Incremental(t.spark, work_dir(t.spark), J.stagnation_step()).run(_attempts(t)).latest(["competition_id"])
 
 
 @query("st_tripwire", TRIPWIRE)
 def _(t):
-    subs = roles.project(_stream(t, "orders"), "subs")
+    subs = roles.project(_stream(t, "orders", "o_orderdate"), "subs")
     job = J.Incremental(t.spark, work_dir(t.spark), J.tripwire_step(t.attempts, t.competitions))
-    return job.run(subs).rows()
+    return job.run(subs).latest(["competition_id"])
 
 
 @query("st_ledger_upsert", """SELECT competition_id, arg_max(submission_id, (submitted_at, submission_id)) AS submission_id, max(submitted_at) AS submitted_at, arg_max(status, (submitted_at, submission_id)) AS status FROM subs GROUP BY 1""")
 def _(t):
-    subs = roles.project(_stream(t, "orders"), "subs").select("competition_id", "submission_id", "submitted_at", "status")
+    subs = roles.project(_stream(t, "orders", "o_orderdate"), "subs").select("competition_id", "submission_id", "submitted_at", "status")
     return J.Incremental(t.spark, work_dir(t.spark), J.upsert_step(["competition_id"], ["submitted_at", "submission_id"])).run(subs).state()
 
 
@@ -104,7 +118,7 @@ def _(t):
  count(*) FILTER (WHERE q.ok AND q.t <= fired_at) AS n_success, count(*) FILTER (WHERE q.t <= fired_at) AS n_done, fired_at FROM v LEFT JOIN q USING (super_cycle_id)
  WHERE fired_at <= {MARK} OR fired_at <= ls GROUP BY super_cycle_id, fired_at, tq, ta, tg""")
 def _(t):
-    return _plain(J.Incremental(t.spark, work_dir(t.spark), J.gate_step()).run(_attempts(t)).rows())
+    return _plain(J.Incremental(t.spark, work_dir(t.spark), J.gate_step(keep_sec=86_400)).run(_attempts(t)).rows())
 
 
 @query("st_gate_batch", """WITH g AS (SELECT super_cycle_id, count(*) FILTER (WHERE cv_score IS NOT NULL AND NOT coalesce(futility_early_exit, false)) AS s, count(*) FILTER (WHERE cv_score IS NOT NULL OR error_trace IS NOT NULL) AS d,

@@ -42,9 +42,7 @@ IMPLAUSIBLE_BASELINE_RATIO = 10.0
 FUTILITY_STD = 0.75
 FUTILITY_AUDIT_SHARE = 0.1
 TWIN_ABORT_SHARE = 0.5
-MAX_CANDIDATES = 12
 PRESELECT_SHARE = 0.2
-IMPORTANCE_ROWS = 20000
 IMPORTANCE_REPEATS = 3
 CEILING_SE = 3.0
 LB_DEADBAND = 0.001

@@ -24,13 +24,9 @@ VOLATILE = (
 EXCEPTION_LINE = r"^([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*):\s*(.+)$"
 RUNNER_EXIT = r"^runner exited without output\.json \(rc=(-?\d+)\)$"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C]"
-MODEL_CLASS = (
-    r"\b(?:XGB|LGBM|CatBoost|HistGradientBoosting|RandomForest|ExtraTrees)\w*?(?:Classifier|Regressor)\b"
-    r"|\bLogisticRegression\b"
-)
+MODEL_CLASS = r"\b(?:XGB|LGBM|CatBoost|HistGradientBoosting|RandomForest|ExtraTrees)\w*?(?:Classifier|Regressor)\b|\bLogisticRegression\b"
 ALIAS_CALL = r"""\.alias\(\s*['"]([^'"]+)['"]\s*\)"""
 WEIGHTING_WORD = r"\b(sample_weight|class_weight|auto_class_weights|scale_pos_weight)\b"
-COLUMNS_SHOWN = 60
 
 
 def lines_of(text: Column) -> Column:
@@ -81,11 +77,12 @@ def kill_stage(trace: Column) -> Column:
     return F.struct(F.nullif(stage, F.lit("")).alias("stage"), F.nullif(fold, F.lit("")).alias("fold"))
 
 
-def code_facts(source: Column) -> Column:
-    """Distinct model classes, alias columns (first 60) and weighting words of a source text, in reading order."""
+def code_facts(source: Column, columns_shown: int | None = None) -> Column:
+    """Distinct model classes, alias columns (or the first of them) and weighting words of a source text, in reading order."""
+    names = F.array_distinct(F.regexp_extract_all(source, F.lit(ALIAS_CALL), F.lit(1)))
     return F.struct(
         F.array_distinct(F.regexp_extract_all(source, F.lit(MODEL_CLASS), F.lit(0))).alias("models"),
-        F.slice(F.array_distinct(F.regexp_extract_all(source, F.lit(ALIAS_CALL), F.lit(1))), 1, COLUMNS_SHOWN).alias("columns"),
+        (names if columns_shown is None else F.slice(names, 1, columns_shown)).alias("columns"),
         F.array_distinct(F.regexp_extract_all(source, F.lit(WEIGHTING_WORD), F.lit(1))).alias("weighting"),
     )
 
@@ -105,6 +102,7 @@ def failure_class(trace: Column, action: Column) -> Column:
     )
 
 
-def squeeze(text: Column, n: int) -> Column:
-    """White space collapsed, first ``n`` characters."""
-    return F.left(strip(F.regexp_replace(text, r"\s+", " ")), F.lit(n))
+def squeeze(text: Column, n: int | None = None) -> Column:
+    """White space collapsed; the first ``n`` characters if given."""
+    flat = strip(F.regexp_replace(text, r"\s+", " "))
+    return flat if n is None else F.left(flat, F.lit(n))

@@ -6,6 +6,7 @@ with ``max_by`` / ``min_by`` or to k rows per key before the shuffle.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,8 +18,12 @@ from . import prefix, summaries
 MAX_PAGE = 500
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    return df.orderBy(*order).limit(min(limit, MAX_PAGE))
+def page(df: DataFrame, order: Sequence[Column], limit: int, most: int | None = None) -> DataFrame:
+    """The first ``limit`` rows; a listing page has at most ``most``, and a caller who asks for more is warned."""
+    if most is not None and limit > most:
+        warnings.warn(f"a page holds at most {most} rows, {limit} were asked for", stacklevel=3)
+        limit = most
+    return df.orderBy(*order).limit(limit)
 
 
 def attempts_query(
@@ -32,7 +37,7 @@ def attempts_query(
     for col, value in wanted.items():
         if value is not None:
             rows = rows.filter(F.col(col) == value)
-    return page(rows, [F.col("run_ts").desc(), F.col("attempt_id").desc()], limit)
+    return page(rows, [F.col("run_ts").desc(), F.col("attempt_id").desc()], limit, MAX_PAGE)
 
 
 LESSON_SORTS = ("created_at", "avg_gain", "times_applied", "jumps")
@@ -51,7 +56,7 @@ def lessons_query(
     if lesson_type is not None:
         rows = rows.filter(F.col("lesson_type") == lesson_type)
     key = sort if sort in LESSON_SORTS else "created_at"
-    return page(rows, [F.col(key).desc(), F.col("reflection_id")], limit)
+    return page(rows, [F.col(key).desc(), F.col("reflection_id")], limit, MAX_PAGE)
 
 
 def own_or_general(competition) -> Column:
@@ -64,7 +69,7 @@ def list_queue(queue: DataFrame) -> DataFrame:
 
 def list_submissions(subs: DataFrame, competition=None, limit: int = 50) -> DataFrame:
     rows = subs if competition is None else subs.filter(F.col("competition_id") == competition)
-    return page(rows, [F.col("submitted_at").desc(), F.col("submission_id").desc()], limit)
+    return page(rows, [F.col("submitted_at").desc(), F.col("submission_id").desc()], limit, MAX_PAGE)
 
 
 def in_keys(df: DataFrame, keys: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """Order-dependent operators that never put one hot key into one task.
 
-A running value over an ordered key is computed in two levels. The order column of a hot key is cut into slices and
-every (key, slice) is a window partition of its own, so a key that holds a third of all rows is spread over as many
-tasks as it has slices. A second, pre-aggregated table holds one row per slice; its running value over the earlier
+A running value over an ordered key is computed in two levels. The order column of a hot key is cut into slices at
+quantiles of its own rows and every (key, slice) is a window partition of its own, so a key that holds a third of all
+rows is spread evenly over as many tasks as it has slices, whatever its outliers. A second, pre-aggregated table holds one row per slice; its running value over the earlier
 slices is the carry that is joined back, on the partitioning the window already has. Rows that compare equal on the
 slice column share a slice, so the cut never changes the order. All other keys keep their single shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import HOT_SHARE, hot_rows, slice_count
+from ..session import hot_rows, slice_count
 
 SLICE = "_slice"
 
@@ -24,21 +27,34 @@ def time_position(ts: str) -> Column:
 
 
 def with_slice(df: DataFrame, keys: Sequence[str], position: Column, n: int | None = None) -> DataFrame:
-    """Add the slice number: 0 for ordinary keys, 1 to n for hot ones (equal ranges of their ``position``).
+    """Add the slice number: 0 for ordinary keys, 1 to n for hot ones, cut at quantiles of their ``position``.
 
-    Hot are the keys above a ten-thousandth of all rows, so at most ten thousand rows are broadcast, at any scale.
-    They come from a count per key over the key and position columns only.
+    Hot are the keys with more than ``spark.ledgerlark.hotRows`` rows, null keys too. One aggregation over the key and
+    position columns gives their counts and cut points; the join with it is planned by size. Rows of equal position share a
+    slice; null positions come first, as in the order of the rows.
     """
-    spark = df.sparkSession
-    n = n or slice_count(spark)
-    pos = df.select(*keys, position.cast("double").alias("_pos"))
-    counts = pos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-    limit = F.greatest(F.lit(float(hot_rows(spark))), counts.agg(F.sum("_rows")).scalar() * HOT_SHARE)
-    hot = counts.filter(F.col("_rows") > limit).select(*keys, "_lo", ((F.col("_hi") - F.col("_lo")) / n).alias("_width"))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    number = F.when(F.col("_width") > 0, F.least(F.floor((position.cast("double") - F.col("_lo")) / F.col("_width")), F.lit(n - 1)))
-    cut = F.when(F.col("_lo").isNull(), 0).otherwise(F.coalesce(number, F.lit(0)) + 1)
-    return marked.select(*df.columns, cut.cast("int").alias(SLICE))
+    n = n or slice_count(df.sparkSession)
+    own = df.withColumn("_place", position.cast("double"))
+    shares = [i / n for i in range(1, n)]
+    cuts = F.percentile_approx("_place", shares, max(1000, 20 * n)) if shares else F.array().cast("array<double>")
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in_key"), cuts.alias("_cut_points"))
+    # cut points in blocks, so that a row is compared with about twice the root of their number
+    step = max(1, math.isqrt(n))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // step)), lambda i: F.slice("_cut_points", i * step + 1, F.lit(step)))
+    hot = counts.filter((F.col("_in_key") > hot_rows(df.sparkSession)) & (F.size("_cut_points") > 0))
+    hot = hot.withColumn("_cut_points", F.array_distinct("_cut_points")).withColumn("_blocks", F.filter(blocks, lambda b: F.size(b) > 0))
+    hot = hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_blocks", F.transform("_blocks", lambda b: F.element_at(b, -1)).alias("_ends"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)])
+    marked = own.join(hot, same, "left")
+    passed = F.size(F.filter("_ends", lambda c: c < F.col("_place")))
+    inside = F.size(F.filter(F.coalesce(F.try_element_at("_blocks", passed + 1), F.array().cast("array<double>")), lambda c: c < F.col("_place")))
+    cut = F.when(F.col("_ends").isNull(), 0).when(F.col("_place").isNull(), 1).otherwise(passed * step + inside + 1)
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], cut.cast("int").alias(SLICE))
+
+
+def same_key(keys: Sequence[str]) -> list[Column]:
+    """Stand-ins for keys that are never null, so that windows and the joins on them share one partitioning."""
+    return [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_key{i}") for i, k in enumerate(keys)]
 
 
 def hash_slice(df: DataFrame, digest: Column) -> DataFrame:
@@ -86,10 +102,12 @@ def running(
 ) -> DataFrame:
     """Running ``count`` / ``sum`` / ``max`` / ``last`` per key in ``order``; ``sliced`` carries the slice column.
 
-    ``order`` must refine the slice order. With ``before`` the current row is left out. Keys are not null, as in
-    the ledger; plain equality lets the carry join reuse the partitioning of the window.
+    ``order`` must refine the slice order. With ``before`` the current row is left out. A null key is a key like any other.
     """
     end = -1 if before else W.currentRow
+    columns = sliced.columns
+    sliced = sliced.select("*", *same_key(keys))
+    keys = [f"_key{i}" for i in range(len(keys))]
     local = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
     cols = []
     for name, (kind, col) in aggs.items():
@@ -115,7 +133,7 @@ def running(
         else:
             value = F.coalesce(loc, car)
         out.append(value.alias(name))
-    return joined.select(*sliced.columns, *out).drop(SLICE)
+    return joined.select(*columns, *out).drop(SLICE)
 
 
 def previous(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: dict[str, Column]) -> DataFrame:

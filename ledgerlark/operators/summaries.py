@@ -6,7 +6,7 @@ else is a partial aggregation, so a hot competition costs one pre-aggregated row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import ACTION_TYPES, FUTILITY_STD
 from ..functions import arrays, rules, text
@@ -37,8 +37,8 @@ def best_row(pipelines: DataFrame, attempts: DataFrame, competitions: DataFrame)
         attempts.select("attempt_id", "model_type", "hypothesis", F.col("fold_scores").alias("_att")), "attempt_id"
     )
     row = F.struct("pipeline_id", "attempt_id", "cv_score", "model_type", "hypothesis", F.coalesce("_folds", "_att").alias("fold_scores"))
-    order = F.struct(F.col("metric_sign") * F.col("cv_score"), -F.col("pipeline_id"))
-    return joined.groupBy("competition_id").agg(F.max_by(row, order).alias("r")).select("competition_id", "r.*")
+    order = F.struct(-F.col("metric_sign") * F.col("cv_score"), F.col("pipeline_id"))
+    return joined.filter("cv_score IS NOT NULL").groupBy("competition_id").agg(F.min_by(row, order).alias("r")).select("competition_id", "r.*")
 
 
 def gain_stats(impact: DataFrame) -> DataFrame:
@@ -91,9 +91,10 @@ def recent_failures(attempts: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def failure_summary(attempts: DataFrame, n: int = 5) -> DataFrame:
-    """One line of the newest failures per competition."""
-    line = F.concat(F.col("action_type"), F.lit(": "), F.left(F.coalesce("hypothesis", F.lit("")), F.lit(60)))
+def failure_summary(attempts: DataFrame, n: int = 5, shown: int | None = None) -> DataFrame:
+    """One line of the newest failures per competition; ``shown`` cuts every hypothesis to so many characters for display."""
+    hypothesis = F.coalesce("hypothesis", F.lit(""))
+    line = F.concat(F.col("action_type"), F.lit(": "), hypothesis if shown is None else F.left(hypothesis, F.lit(shown)))
     rows = _failures(attempts, n).groupBy("competition_id").agg(F.sort_array(F.collect_list(F.struct("rn", line.alias("line")))).alias("_l"))
     return rows.select("competition_id", F.array_join(F.transform("_l", lambda s: s["line"]), "; ").alias("summary"))
 
@@ -103,9 +104,9 @@ def last_hypothesis(attempts: DataFrame) -> DataFrame:
     return known.groupBy("competition_id").agg(F.max_by("hypothesis", F.struct("run_ts", "attempt_id")).alias("hypothesis"))
 
 
-def retrieval_text(attempts: DataFrame, cards: DataFrame) -> DataFrame:
+def retrieval_text(attempts: DataFrame, cards: DataFrame, shown: int | None = None) -> DataFrame:
     """Search text per competition: newest hypothesis and what to avoid, else its data card."""
-    joined = cards.join(last_hypothesis(attempts), "competition_id", "left").join(failure_summary(attempts), "competition_id", "left")
+    joined = cards.join(last_hypothesis(attempts), "competition_id", "left").join(failure_summary(attempts, shown=shown), "competition_id", "left")
     avoid = F.when(F.col("summary") != "", F.concat(F.lit("avoid: "), F.col("summary")))
     query = F.concat_ws("; ", F.nullif("hypothesis", F.lit("")), avoid)
     return joined.select("competition_id", F.coalesce(F.nullif(query, F.lit("")), F.col("card")).alias("query_text"))
@@ -119,17 +120,20 @@ def since_last_confirmed(attempts: DataFrame, pipelines: DataFrame) -> DataFrame
     return attempts.join(latest, "competition_id").filter("run_ts > _since").drop("_since")
 
 
-def tried_on_base(attempts: DataFrame, pipelines: DataFrame, limit: int = 24) -> DataFrame:
-    """Distinct outcomes since the last confirmed pipeline, most repeated first."""
+def tried_on_base(attempts: DataFrame, pipelines: DataFrame, limit: int | None = None, shown: int | None = None) -> DataFrame:
+    """Distinct outcomes since the last confirmed pipeline, numbered from the most repeated; ``limit`` keeps so many of a
+    competition, ``shown`` cuts hypotheses to so many characters for display."""
     cols = ["attempt_id", "competition_id", "run_ts", "action_type", "gain_vs_best", "hypothesis", "error_trace"]
     rows = since_last_confirmed(attempts.select(*cols), pipelines).filter("error_trace IS NULL AND gain_vs_best IS NOT NULL")
     groups = rows.groupBy("competition_id", "action_type", rules.round_half(F.col("gain_vs_best"), 7).alias("gain")).agg(
         F.count(F.lit(1)).alias("cnt"), F.max_by("hypothesis", F.struct("run_ts", "attempt_id")).alias("hypothesis"), F.max("run_ts").alias("_last")
     )
     order = [F.col("cnt").desc(), F.col("_last").desc(), F.col("action_type"), F.col("gain")]
-    return prefix.newest_per_key(groups, ["competition_id"], order, limit, rank="place").drop("_last").withColumn(
-        "hypothesis", text.squeeze(F.coalesce("hypothesis", F.lit("")), 100)
-    )
+    if limit is None:
+        placed = groups.withColumn("place", F.row_number().over(W.partitionBy("competition_id").orderBy(*order)))
+    else:
+        placed = prefix.newest_per_key(groups, ["competition_id"], order, limit, rank="place")
+    return placed.drop("_last").withColumn("hypothesis", text.squeeze(F.coalesce("hypothesis", F.lit("")), shown))
 
 
 def recent_tunes_failed(tunes: DataFrame, n: int = 5) -> DataFrame:
@@ -302,7 +306,8 @@ def stagnation(attempts: DataFrame, window: int = 5, threshold: int = 3) -> Data
 
 
 def error_slope(attempts: DataFrame, newest: int = 200, minimum: int = 20) -> DataFrame:
-    """Sign of the error-rate change between the older and the newer half of the newest attempts."""
+    """Sign of the error-rate change between the older and the newer half of the newest attempts; the window of ``newest``
+    attempts is the definition of the slope."""
     rows = attempts.filter("stage = 'reflexion'").select("competition_id", "label", "run_ts", "attempt_id")
     recent = prefix.newest_per_key(rows, ["competition_id"], newest_first(), newest)
     size = recent.groupBy("competition_id").agg(F.count(F.lit(1)).alias("n"))
@@ -314,12 +319,13 @@ def error_slope(attempts: DataFrame, newest: int = 200, minimum: int = 20) -> Da
     return rates.select("competition_id", "n", slope.alias("error_rate_slope"))
 
 
-def fold1_cache(attempts: DataFrame, n_folds: int = 5, newest: int = 200) -> DataFrame:
-    """Newest vector per distinct first-fold value among the newest attempts with that many folds."""
+def fold1_cache(attempts: DataFrame, n_folds: int = 5, newest: int | None = None) -> DataFrame:
+    """Newest vector per distinct first-fold value among the attempts with that many folds, or the ``newest`` of them."""
     rows = attempts.filter(F.size("fold_scores") == n_folds).select("competition_id", "attempt_id", "run_ts", "fold_scores")
-    recent = prefix.newest_per_key(rows, ["competition_id"], newest_first(), newest)
+    if newest is not None:
+        rows = prefix.newest_per_key(rows, ["competition_id"], newest_first(), newest)
     first = F.get("fold_scores", F.lit(0)).alias("fold1")
-    out = recent.groupBy("competition_id", first).agg(F.min_by(F.struct("attempt_id", "fold_scores"), "rn").alias("r"))
+    out = rows.groupBy("competition_id", first).agg(F.max_by(F.struct("attempt_id", "fold_scores"), F.struct("run_ts", "attempt_id")).alias("r"))
     return out.select("competition_id", "fold1", "r.*")
 
 

@@ -68,20 +68,24 @@ def dummy_target(df: DataFrame, train: DataFrame, target: str, row_id: str) -> D
 def string_codes(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(field, value, code): rank (from 0) of every distinct value of every column, in binary order.
 
-    All columns go through one distinct and one prefix count. A column with very many values is sliced by the bytes
-    that follow the prefix all its values share (that of its smallest and largest value).
+    All columns go through one distinct. Values are ranked by their first six bytes and then among those that share them, where
+    a hot head is sliced by the bytes after the prefix its values share.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in cols])).alias("p")
     values = train.select(pairs).select("p.*").filter("value IS NOT NULL").distinct()
-    ends = values.groupBy("field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    head = F.rpad(F.left(F.hex("value"), F.lit(12)), 12, "0")  # the first six bytes, in binary order
+    values = values.withColumn("head", head)
+    # heads are ranked first, with the values before each of them; one odd value does not touch the others
+    heads = values.groupBy("field", "head").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    upto = prefix.running(prefix.with_slice(heads, ["field"], F.conv("head", 16, 10)), ["field"], [F.col("head")], {"upto": ("sum", F.col("n"))})
     same = F.zip_with(F.split("lo", ""), F.split("hi", ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
     first = F.array_position(same, False)
     shared = F.when(first > 0, first - 1).otherwise(F.length("lo")).cast("int").alias("_shared")
-    keyed = values.join(F.broadcast(ends.select("field", shared)), "field")  # one row per column of the frame
-    bytes_after = F.rpad(F.left(F.hex(F.substring("value", F.col("_shared") + 1, F.lit(6))), F.lit(12)), 12, "0")
-    sliced = prefix.with_slice(keyed, ["field"], F.conv(bytes_after, 16, 10))
-    ranked = prefix.running(sliced, ["field"], [F.col("value")], {"code": ("count", F.lit(1))})
-    return ranked.select("field", "value", (F.col("code") - 1).cast("int").alias("code"))
+    keyed = values.join(upto.select("field", "head", (F.col("upto") - F.col("n")).alias("before"), shared), ["field", "head"])
+    after = F.rpad(F.left(F.hex(F.substring("value", F.col("_shared") + 1, F.lit(6))), F.lit(12)), 12, "0")
+    sliced = prefix.with_slice(keyed, ["field", "head"], F.conv(after, 16, 10))
+    ranked = prefix.running(sliced, ["field", "head"], [F.col("value")], {"place": ("count", F.lit(1))})
+    return ranked.select("field", "value", (F.col("before") + F.col("place") - 1).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:

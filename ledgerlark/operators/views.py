@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import BANDIT_DECAY, DUPLICATE_COSINE, DUPLICATE_NEWEST, LB_DEADBAND
+from ..constants import BANDIT_DECAY, DUPLICATE_COSINE, LB_DEADBAND
 from ..functions import arrays, rules
 from . import prefix
 
@@ -41,7 +41,7 @@ def _with_running_best(staged: DataFrame) -> DataFrame:
 
 def score_progression(attempts: DataFrame, competitions: DataFrame) -> DataFrame:
     """Number and signed running best of every attempt of a competition, in time order."""
-    cols = ["attempt_id", "competition_id", "run_ts", "stage", "action_type", "cv_score", "label", "gain_vs_best"]
+    cols = ["attempt_id", "competition_id", "run_ts", "stage", "action_type", "cv_score", "lb_score", "label", "gain_vs_best"]
     staged = stg_attempts(attempts.select(*cols), competitions)
     return _with_running_best(staged).select(*cols[:2], "attempt_no", *cols[2:], "best_so_far")
 
@@ -137,14 +137,17 @@ def times_retrieved(lessons: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def lesson_duplicates(
-    lessons: DataFrame, threshold: float = DUPLICATE_COSINE, newest: int = DUPLICATE_NEWEST
+    lessons: DataFrame, threshold: float = DUPLICATE_COSINE, newest: int | None = None
 ) -> DataFrame:
     """Pairs of live lessons of one competition whose vectors are nearer than the threshold.
 
-    The view looks at the newest lessons of each competition only, which is part of its definition and bounds a
-    group to ``newest`` vectors: one matrix product per group, only pairs above the threshold leave the task.
+    All live lessons are compared. With ``newest`` only that many of each competition are, the newest ones: one matrix
+    product per competition, only pairs above the threshold leave the task. Lessons without a vector, or with one whose
+    length is not the usual one of their competition, have no pairs.
     """
-    live = lessons.filter("NOT archived").select("reflection_id", "competition_id", "created_at", "embedding")
+    if newest is None:
+        return lesson_duplicates_all(lessons, threshold)
+    live = _with_vectors(lessons, ["reflection_id", "competition_id", "created_at", "embedding"])
     recent = prefix.newest_per_key(live, ["competition_id"], [F.col("created_at").desc(), F.col("reflection_id").desc()], newest)
 
     cols = recent.select("competition_id", "reflection_id", "embedding")
@@ -158,7 +161,7 @@ def lesson_duplicates_all(lessons: DataFrame, threshold: float = DUPLICATE_COSIN
     holds about two blocks of vectors and no competition has to fit anywhere. The work grows with the square of a
     competition's lessons, as any exact comparison does; the data moved grows with lessons times blocks.
     """
-    live = lessons.filter("NOT archived").select("reflection_id", "competition_id", "embedding")
+    live = _with_vectors(lessons, ["reflection_id", "competition_id", "embedding"])
     sizes = live.groupBy("competition_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
     placed = live.join(sizes, "competition_id").withColumn("_own", F.pmod(F.xxhash64("reflection_id"), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other")
@@ -168,6 +171,14 @@ def lesson_duplicates_all(lessons: DataFrame, threshold: float = DUPLICATE_COSIN
     return meeting.groupBy(*keys).applyInPandas(_near_pairs(threshold), _pair_schema(lessons))
 
 
+def _with_vectors(lessons: DataFrame, columns: list[str]) -> DataFrame:
+    """Live lessons whose vector has no null and the most frequent length of its competition (the greater of equally frequent)."""
+    sound = lessons.filter("NOT archived AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").select(*columns, F.size("embedding").alias("_dim"))
+    counts = sound.groupBy("competition_id", "_dim").agg(F.count(F.lit(1)).alias("_n"))
+    usual = counts.groupBy("competition_id").agg(F.max(F.struct("_n", "_dim"))["_dim"].alias("_usual")).filter("_usual > 0")
+    return sound.join(usual, "competition_id").filter("_dim = _usual").select(*columns)
+
+
 def _pair_schema(lessons: DataFrame) -> str:
     kind = dict(lessons.select("competition_id", "reflection_id").dtypes)
     return (
@@ -286,7 +297,8 @@ def error_recurrence(attempts: DataFrame, lessons: DataFrame) -> DataFrame:
 
 
 def top_pitfalls(attempts: DataFrame, k: int = 5, window: int = 100, min_count: int = 2) -> DataFrame:
-    """Most frequent signatures among the newest errors of a competition and action."""
+    """Most frequent signatures among the newest errors of a competition and action; the window of newest errors is part of
+    the definition."""
     keys = ["competition_id", "action_type"]
     errors = attempts.filter("error_trace IS NOT NULL").select(*keys, "run_ts", "attempt_id", "error_signature")
     recent = prefix.newest_per_key(errors, keys, [F.col("run_ts").desc(), F.col("attempt_id").desc()], window)

@@ -26,26 +26,27 @@ def _draws(seed: int, n: int):
     return draw
 
 
-def _beliefs(bandit: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """One row per competition and action; actions never tried have the flat prior."""
+def _beliefs(bandit: DataFrame, competitions: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """One row per competition and action; competitions and actions never tried have the flat prior."""
     actions = [a for a in K.ACTION_TYPES if a not in excluded]
-    grid = bandit.select("scope_key").distinct().withColumn("action_type", F.explode(F.array(*[F.lit(a) for a in actions])))
+    bandit = bandit.filter("scope = 'local'")
+    grid = competitions.select(F.col("competition_id").alias("scope_key")).distinct().withColumn("action_type", F.explode(F.array(*[F.lit(a) for a in actions])))
     return grid.join(bandit.select("scope_key", "action_type", "alpha", "beta"), ["scope_key", "action_type"], "left").fillna({"alpha": 1.0, "beta": 1.0})
 
 
-def action_prior(bandit: DataFrame, seed: int) -> DataFrame:
+def action_prior(bandit: DataFrame, competitions: DataFrame, seed: int) -> DataFrame:
     """One posterior draw per action, four places."""
     stream = F.xxhash64("scope_key", "action_type")
-    return _beliefs(bandit).select("scope_key", "action_type", F.round(_draws(seed, 1)(stream, F.col("alpha"), F.col("beta"))[0], 4).alias("prior"))
+    return _beliefs(bandit, competitions).select("scope_key", "action_type", F.round(_draws(seed, 1)(stream, F.col("alpha"), F.col("beta"))[0], 4).alias("prior"))
 
 
-def assign_actions(bandit: DataFrame, attempts: DataFrame, n: int, seed: int, excluded: tuple[str, ...] = ()) -> DataFrame:
+def assign_actions(bandit: DataFrame, attempts: DataFrame, competitions: DataFrame, n: int, seed: int, excluded: tuple[str, ...] = ()) -> DataFrame:
     """n actions per competition by posterior draws; dead actions only while their window for a retry is open.
 
     Missing places are filled by a fresh draw among the living; with none alive the full ranking is cycled.
     """
     total = attempts.groupBy(F.col("competition_id").alias("scope_key")).agg(F.count(F.lit(1)).alias("_total"))
-    rows = _beliefs(bandit, excluded).join(total, "scope_key", "left").fillna({"_total": 0})
+    rows = _beliefs(bandit, competitions, excluded).join(total, "scope_key", "left").fillna({"_total": 0})
     dead = rules.is_dead_action(F.col("alpha"), F.col("beta")) & (F.col("_total") % K.REEXPLORE_EVERY >= n)
     rows = rows.withColumns({"_draw": _draws(seed, n + 1)(F.xxhash64("scope_key", "action_type"), F.col("alpha"), F.col("beta")), "_dead": dead})
     entry = F.struct((-F.get("_draw", F.lit(0))).alias("d"), F.col("action_type").alias("a"), F.col("_dead").alias("x"), F.col("_draw").alias("draw"))

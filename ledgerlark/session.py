@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,21 +35,23 @@ def slice_count(spark: SparkSession) -> int:
     return int(configured) if configured else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# A key is hot when it holds more than this share of all rows, and at least ``spark.ledgerlark.hotRows`` rows. The share
-# bounds the number of hot keys, whatever the size of the data.
-HOT_SHARE = 1.0 / 10_000
-
-
 def hot_rows(spark: SparkSession) -> int:
     """Rows a key may put into one task of an ordered operator before it is cut into slices."""
     return int(spark.conf.get("spark.ledgerlark.hotRows", "1000000"))
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the session; a local one only where none is set."""
+    """A new folder below the shared folder of the session, ``spark.checkpoint.dir``.
+
+    In local mode a session without that setting gets a temporary folder, removed when the driver ends. On a cluster there is no
+    such substitute: every executor would write to its own disk, so a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix="ledgerlark-")
-    import uuid
-
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="ledgerlark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ledgerlark-{uuid.uuid4().hex}"

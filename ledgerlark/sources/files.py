@@ -22,6 +22,12 @@ def leaderboard_scores(df: DataFrame, score: str = "Score") -> DataFrame:
     return df.withColumn("score", F.expr(f"try_cast(`{score}` AS double)")).filter("score IS NOT NULL")
 
 
+def leaderboard_rows(snapshots: DataFrame) -> DataFrame:
+    """(competition_id, score): the newest snapshot of every competition, one row per team; null scores are left out."""
+    newest = snapshots.groupBy("competition_id").agg(F.max("fetched_at").alias("fetched_at"))
+    return snapshots.join(newest, ["competition_id", "fetched_at"]).select("competition_id", F.explode("scores").alias("score")).filter("score IS NOT NULL")
+
+
 def parse_submission_listing(lines: DataFrame, line: str = "value") -> DataFrame:
     """Listing lines ``description,status,publicScore`` without the warnings the tool prints before them.
 

@@ -76,7 +76,11 @@ Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
 class Incremental:
-    """Runs ``step(batch, state) -> (output, new state)`` per micro-batch with versioned state and output."""
+    """Runs ``step(batch, state) -> (output, new state)`` per micro-batch with versioned state and output.
+
+    A repeated epoch overwrites its own folders. State is kept for the last two epochs, so a repeated epoch still finds the one
+    before it; a new run on the same path goes on from there.
+    """
 
     def __init__(self, spark: SparkSession, path: str, step: Step):
         self.spark, self.path, self.step = spark, path, step
@@ -88,10 +92,15 @@ class Incremental:
         spark = batch.sparkSession
         state = spark.read.parquet(self._at("state", epoch - 1)) if epoch else None
         output, new_state = self.step(batch.persist(), state)
-        output.write.mode("overwrite").parquet(self._at("rows", epoch))
         new_state.write.mode("overwrite").parquet(self._at("state", epoch))
-        self.last_epoch = epoch
+        output.write.mode("overwrite").parquet(self._at("rows", epoch))
         batch.unpersist()
+        self._forget(epoch - 2)
+
+    def _forget(self, epoch: int) -> None:
+        if epoch >= 0:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("state", epoch))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (
@@ -107,9 +116,16 @@ class Incremental:
         """Output of all epochs."""
         return self.spark.read.parquet(f"{self.path}/rows").drop("epoch")
 
+    def latest(self, keys: list[str]) -> DataFrame:
+        """The newest output row of every key."""
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        values = [c for c in rows.columns if c not in (*keys, "epoch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_row")).select(*keys, "_row.*")
+
     def state(self) -> DataFrame:
-        """State after the last epoch of this run."""
-        return self.spark.read.parquet(self._at("state", self.last_epoch))
+        """State after the last epoch, of this or an earlier run on the path."""
+        kept = self.spark.read.parquet(f"{self.path}/state")
+        return kept.filter(F.col("epoch") == kept.agg(F.max("epoch")).first()[0]).drop("epoch")
 
 
 def _merge(old: DataFrame | None, new: DataFrame, keys: list[str], values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
@@ -168,6 +184,7 @@ def bandit_step() -> Step:
 
     def step(batch: DataFrame, state: DataFrame | None):
         new = views.bandit_replay(batch)
+        changed = new.select(*keys)
         if state is not None:
             old = state.select(*keys, F.col("alpha").alias("_a"), F.col("beta").alias("_b"), F.col("updates").alias("_u"))
             both = old.join(new, keys, "full_outer")
@@ -177,7 +194,7 @@ def bandit_step() -> Step:
                 return F.coalesce(F.col(own), F.lit(1.0)) + (F.coalesce(F.col(before), F.lit(1.0)) - 1.0) * fade
 
             new = both.select(*keys, shift("alpha", "_a").alias("alpha"), shift("beta", "_b").alias("beta"), _plus(F.col("_u"), F.col("updates")).alias("updates"))
-        return new, new
+        return new.join(changed, keys, "left_semi"), new
 
     return step
 
@@ -190,7 +207,8 @@ def stagnation_step(window: int = 5, threshold: int = 3) -> Step:
         winners = batch.filter("was_promoted").select(*cols)
         pool = winners if state is None else winners.unionByName(state)
         newest = prefix.newest_per_key(pool, ["competition_id"], summaries.newest_first(), window)
-        counts = newest.groupBy("competition_id").agg(
+        touched = winners.select("competition_id").distinct()
+        counts = newest.join(touched, "competition_id", "left_semi").groupBy("competition_id").agg(
             F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == "jump").alias("jumps_in_window"), F.min(F.when(F.col("label") == "jump", F.col("rn"))).alias("_jump")
         )
         since = F.coalesce(F.col("_jump") - 1, F.col("_n")).cast("long")
@@ -209,7 +227,8 @@ def tripwire_step(attempts: DataFrame, competitions: DataFrame) -> Step:
         scored = done.join(attempts.filter("cv_score IS NOT NULL").select("attempt_id"), "attempt_id", "left_semi")
         pool = scored if state is None else scored.unionByName(state)
         newest = prefix.newest_per_key(pool, ["competition_id"], [F.col("submitted_at").desc(), F.col("submission_id").desc()], 4).drop("rn")
-        return views.cv_lb_tripwire(newest, attempts, competitions), newest
+        touched = newest.join(scored.select("competition_id").distinct(), "competition_id", "left_semi")
+        return views.cv_lb_tripwire(touched, attempts, competitions), newest
 
     return step
 
@@ -219,9 +238,10 @@ def upsert_step(keys: list[str], order: list[str]) -> Step:
 
     def step(batch: DataFrame, state: DataFrame | None):
         new = tables.newest_by_key(batch, keys, order)
-        if state is not None:
-            new = tables.newest_by_key(state.unionByName(new), keys, order)
-        return new, new
+        if state is None:
+            return new, new
+        merged = tables.newest_by_key(state.unionByName(new), keys, order)
+        return merged.join(new.select(*keys), keys, "left_semi"), merged
 
     return step
 
@@ -279,11 +299,11 @@ def gate_events(facts: DataFrame, mark: Column, *, expected: int, min_done: int,
     )
 
 
-def gate_step(expected: int = 3, min_done: int = 2, grace_sec: int = 900, max_wait_sec: int = 3000, delay: str = "'1' HOUR") -> Step:
+def gate_step(expected: int = 3, min_done: int = 2, grace_sec: int = 900, max_wait_sec: int = 3000, delay: str = "'1' HOUR", keep_sec: int = 0) -> Step:
     """Fires every super cycle once: on enough successes, on all results, after the grace or the longest wait.
 
     The clock is the newest event time seen minus the delay. A fired super cycle stays in the state until the clock
-    has passed its longest wait, so late attempts do not start a second round.
+    has passed its longest wait and ``keep_sec`` more, so late attempts do not start a second round.
     """
 
     def step(batch: DataFrame, state: DataFrame | None):
@@ -301,7 +321,7 @@ def gate_step(expected: int = 3, min_done: int = 2, grace_sec: int = 900, max_wa
         events = gate_events(facts.filter("NOT fired"), mark, expected=expected, min_done=min_done, grace_sec=grace_sec, max_wait_sec=max_wait_sec)
         hit = events.select("super_cycle_id", F.lit(True).alias("_hit"))
         new = facts.join(hit, "super_cycle_id", "left").withColumns({"fired": F.col("fired") | F.coalesce("_hit", F.lit(False)), "clock": clock}).drop("_hit")
-        expired = F.col("fired") & (F.col("start") + F.expr(f"INTERVAL '{max_wait_sec}' SECOND") <= mark)
+        expired = F.col("fired") & (F.col("start") + F.expr(f"INTERVAL '{max_wait_sec + keep_sec}' SECOND") <= mark)
         return events, new.filter(~expired)
 
     return step

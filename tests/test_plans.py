@@ -38,11 +38,13 @@ def test_fingerprint_guard(spark):
 
 def test_assign_actions(spark):
     bandit = spark.createDataFrame([("live", "ensemble", 40.0, 1.0)] + [("dead", a, 1.0, 30.0) for a in ("feature_engineering", "preprocessing", "model_swap", "hyperparam_search", "ensemble")]
-                                   + [("few", a, 1.0, 30.0) for a in ("feature_engineering", "preprocessing", "model_swap", "hyperparam_search")], "scope_key string, action_type string, alpha double, beta double")
+                                   + [("few", a, 1.0, 30.0) for a in ("feature_engineering", "preprocessing", "model_swap", "hyperparam_search")], "scope_key string, action_type string, alpha double, beta double").withColumn("scope", F.lit("local"))
+    bandit = bandit.unionByName(bandit.withColumns({"scope": F.lit("global"), "alpha": F.lit(99.0)}))
+    comps = spark.createDataFrame([("live",), ("dead",), ("few",), ("new",)], "competition_id string")
     att = spark.createDataFrame([(k, i) for k in ("live", "dead", "few") for i in range(50)], "competition_id string, i int")
     def picks(seed):
         out = {}
-        for r in fleet.assign_actions(bandit, att, 3, seed).collect():
+        for r in fleet.assign_actions(bandit, att, comps, 3, seed).collect():
             out.setdefault(r.scope_key, []).append((r.slot, r.action_type))
         return {k: [a for _, a in sorted(v)] for k, v in out.items()}
 
@@ -50,13 +52,14 @@ def test_assign_actions(spark):
     assert got == picks(1) and all(len(v) == 3 for v in got.values())
     assert got["live"][0] == "ensemble" and len(set(got["live"])) == 3
     assert got["few"] == ["ensemble"] * 3 and len(set(got["dead"])) == 3
-    opened = fleet.assign_actions(bandit, att.limit(0), 3, 1).filter("scope_key = 'few'").select("action_type").distinct().count()
+    opened = fleet.assign_actions(bandit, att.limit(0), comps, 3, 1).filter("scope_key = 'few'").select("action_type").distinct().count()
     assert opened == 3
 
 
 def test_action_prior_is_a_probability(spark):
-    bandit = spark.createDataFrame([("k", "ensemble", 90.0, 10.0)], "scope_key string, action_type string, alpha double, beta double")
-    got = {r.action_type: r.prior for r in fleet.action_prior(bandit, 3).collect()}
+    bandit = spark.createDataFrame([("k", "ensemble", 90.0, 10.0)], "scope_key string, action_type string, alpha double, beta double").withColumn("scope", F.lit("local"))
+    comps = spark.createDataFrame([("k",)], "competition_id string")
+    got = {r.action_type: r.prior for r in fleet.action_prior(bandit, comps, 3).collect()}
     assert len(got) == 5 and all(0 <= v <= 1 for v in got.values()) and got["ensemble"] > 0.7
 
 
