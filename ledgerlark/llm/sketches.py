@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in column expressions only.
 
-A paragraph is a line; lines over 16 words are cut every 16 words. The digests of a text form a set. A sketch adds each digest
+A paragraph is a line; lines over 32 words are cut every 32 words. The digests of a text form a set. A sketch adds each digest
 to one cell of each of three rows: a count, an exclusive or of digests and one of check values. Sketches of two texts subtract
 cell by cell; peeling cells that hold a single digest recovers the digests in which the texts differ. Where peeling gets
 stuck, the digests are split by a hash into as many parts as needed, each with a sketch of its own, and again where a part
@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, free_name, whole
 
-ROWS, WIDTH = 3, 8
+ROWS, WIDTH = 3, 12
 CELLS = ROWS * WIDTH
 ROUNDS = 10
-LOAD = 6  # digests that a part is planned for
-WORDS = 16
+LOAD = 12  # digests that a part is planned for
+WORDS = 32
 PARAGRAPH = rf"(?:{WORD}[\x20\x09\x0B\x0C]*){{1,{WORDS}}}"
 BUCKET_BYTES = 16 << 20
 
@@ -35,18 +35,21 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
 
 
+BITS = [1 << i for i in range(CELLS)]
+
+
 def _placed(digest: Column, seed: int) -> Column:
-    """A digest with its check value and one cell in each row."""
-    cells = [(F.pmod(F.xxhash64(digest, F.lit(seed * ROWS + j)), F.lit(WIDTH)) + j * WIDTH).cast("int").alias(f"c{j}") for j in range(ROWS)]
-    return F.struct(digest.alias("k"), _check(digest).alias("x"), *cells)
+    """A digest with its check value and the set bits of its cells, one cell in each row."""
+    bits = [F.element_at(F.lit(BITS[j * WIDTH:(j + 1) * WIDTH]).cast("array<bigint>").cast("array<bigint>"), (F.pmod(F.xxhash64(digest, F.lit(seed * ROWS + j)), F.lit(WIDTH)) + 1).cast("int")) for j in range(ROWS)]
+    return F.struct(digest.alias("k"), _check(digest).alias("x"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"))
 
 
 def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.xxhash64(digest, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _holds(placed: Column, cell: Column) -> Column:
-    return (placed["c0"] == cell) | (placed["c1"] == cell) | (placed["c2"] == cell)
+def _holds(placed: Column, bit: Column) -> Column:
+    return placed["m"].bitwiseAND(bit) != 0
 
 
 def _cell(n: Column, k: Column, x: Column) -> Column:
@@ -58,10 +61,8 @@ def sketch(digests: Column, seed: int = 0) -> Column:
     zero = _cell(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     return _let(
         F.transform(digests, lambda d: _placed(d, seed)),
-        lambda placed: F.transform(
-            F.sequence(F.lit(0), F.lit(CELLS - 1)),
-            lambda i: F.aggregate(F.filter(placed, lambda p: _holds(p, i)), zero, lambda a, p: _cell(a["n"] + 1, a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"]))),
-        ),
+        lambda placed: F.transform(F.lit(BITS).cast("array<bigint>"), lambda bit: F.aggregate(
+            F.filter(placed, lambda p: _holds(p, bit)), zero, lambda a, p: _cell(a["n"] + 1, a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"])))),
     )
 
 
@@ -76,11 +77,11 @@ def peel(cells: Column, seed: int = 0) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         single = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["n"].alias("n"), _placed(c["k"], seed).alias("p"))))
-        return _let(single, lambda found: F.struct(
-            F.transform(state["cells"], lambda c, i: F.aggregate(
-                F.filter(found, lambda f: _holds(f["p"], i)), c,
+        return _let(single, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
+            F.zip_with(state["cells"], F.lit(BITS).cast("array<bigint>"), lambda c, bit: F.aggregate(
+                F.filter(found, lambda f: _holds(f["p"], bit)), c,
                 lambda a, f: _cell(a["n"] - f["n"], a["k"].bitwiseXOR(f["p"]["k"]), a["x"].bitwiseXOR(f["p"]["x"])))).alias("cells"),
-            F.concat(state["found"], F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["p"]["k"].alias("k")))).alias("found")))
+            F.concat(state["found"], F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["p"]["k"].alias("k")))).alias("found"))))
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:bigint,k:bigint>>").alias("found"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
@@ -95,43 +96,46 @@ def _attempt_with(seed: int) -> Callable[[Column, Column], Column]:
     return lambda left, right: _attempt(left, right, seed)
 
 
-def _split(digests: Column, side: Column, seed: int) -> Column:
-    """The digests in side * side parts, by two steps of a hash."""
-    def part(values: Column, at: Column, salt: str) -> Column:
-        return F.filter(values, lambda d: F.pmod(F.xxhash64(d, F.lit(f"{salt}{seed}")), side.cast("bigint")) == at)
+def _split(digests: Column, first: Column, second: Column, seed: int) -> Column:
+    """The digests in first * second parts, by two steps of a hash."""
+    def part(values: Column, parts: Column, at: Column, salt: int) -> Column:
+        return F.filter(values, lambda d: F.pmod(F.xxhash64(d, F.lit(1000 * salt + seed)), parts) == at)
 
-    steps = F.sequence(F.lit(0), side - 1)
-    return F.flatten(F.transform(steps, lambda a: _let(part(digests, a, "a"), lambda some: F.transform(steps, lambda b: part(some, b, "b")))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), first - 1), lambda a: _let(part(digests, first, a, 1), lambda some: F.transform(F.sequence(F.lit(0), second - 1), lambda b: part(some, second, b, 2)))))
 
 
-def _in_parts(left: Column, right: Column, side: Column, seed: int, solve: Callable[[Column, Column], Column]) -> Column:
+def _in_parts(left: Column, right: Column, first: Column, second: Column, seed: int, solve: Callable[[Column, Column], Column]) -> Column:
     """Solutions of all parts together; null if one has none."""
-    solved = F.zip_with(_split(left, side, seed), _split(right, side, seed), solve)
+    solved = F.zip_with(_split(left, first, second, seed), _split(right, first, second, seed), solve)
     return _let(solved, lambda parts: F.when(F.forall(parts, lambda p: p.isNotNull()), F.flatten(parts)))
 
 
-def difference(left: Column, right: Column) -> Column:
-    """Signed digests of which only one of two sets of digests has each, recovered from sketches, with retries in more parts."""
+def difference(left: Column, right: Column, sketches: tuple[Column, Column] | None = None) -> Column:
+    """Signed digests of which only one of two sets of digests has each, recovered from sketches, with retries in more parts.
+
+    ``sketches`` are those of the whole sets, if they are at hand.
+    """
     def solve(a: Column, b: Column) -> Column:
         tries = [_attempt(a, b, 1)]
-        tries += [_in_parts(a, b, F.lit(side), seed, _attempt_with(seed)) for seed, side in ((2, 2), (3, 2), (4, 3), (5, 4), (6, 8), (7, 16))]
+        tries += [_in_parts(a, b, F.lit(side), F.lit(side), seed, _attempt_with(seed)) for seed, side in ((2, 2), (3, 3), (4, 6), (5, 16))]
         return F.coalesce(*tries)
 
-    total = F.size(left) + F.size(right)
-    side = F.ceil(F.sqrt(total / LOAD)).cast("int")
-    return F.coalesce(_attempt(left, right, 0), _in_parts(left, right, F.greatest(side, F.lit(2)), 1, solve))
+    whole_sets = peel(subtract(*sketches)) if sketches else _attempt(left, right, 0)
+    parts = F.greatest(F.ceil((F.size(left) + F.size(right)) / LOAD).cast("int"), F.lit(2))
+    first = F.ceil(F.sqrt(parts)).cast("int")
+    return F.coalesce(whole_sets, _let(first, lambda n: _in_parts(left, right, n, F.ceil(parts / n).cast("int"), 1, solve)))
 
 
-def likeness(left: Column, right: Column) -> Column:
+def likeness(left: Column, right: Column, sketches: tuple[Column, Column] | None = None) -> Column:
     """Share of common digests among all digests of two texts, from the recovered difference; 1 for two texts without words."""
     total = (F.size(left) + F.size(right)).cast("double")
-    return F.when(total == 0, 1.0).otherwise(_let(F.size(difference(left, right)), lambda d: (total - d) / (total + d)))
+    return F.when(total == 0, 1.0).otherwise(_let(F.size(difference(left, right, sketches)), lambda d: (total - d) / (total + d)))
 
 
 def serialized(cells: Column) -> Column:
     """Fingerprint: count, digest and check of every cell in hexadecimal."""
     digits = lambda v, n: F.lpad(F.lower(F.hex(v)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(digits(c["n"], 6), digits(c["k"], 16), digits(c["x"], 8))), "")
+    return F.array_join(F.transform(cells, lambda c: F.concat(digits(c["n"], 4), digits(c["k"], 16), digits(c["x"], 8))), "")
 
 
 def with_next(docs: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
@@ -177,8 +181,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     made = paired.select("doc_id", "n_chars", "digests", "next_digests", edited.alias("edited"))
     made = made.select("doc_id", "n_chars", "digests", "next_digests", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_digests"))
-    return made.select(
-        "doc_id", "n_chars", "edited_sha256",
-        serialized(sketch(F.col("digests"))).alias("fingerprint"), serialized(sketch(F.col("edited_digests"))).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"), likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
-    )
+    made = made.select("*", sketch(F.col("digests")).alias("own"), sketch(F.col("edited_digests")).alias("changed"))
+    pair = lambda x, y, sx, sy: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), sx.alias("sa"), sy.alias("sb"))
+    pairs = F.array(pair("digests", "edited_digests", F.col("own"), F.col("changed")), pair("digests", "next_digests", F.col("own"), sketch(F.col("next_digests"))))
+    near = F.transform(pairs, lambda p: likeness(p["a"], p["b"], (p["sa"], p["sb"])))
+    made = made.select("doc_id", "n_chars", "edited_sha256", serialized(F.col("own")).alias("fingerprint"), serialized(F.col("changed")).alias("edited_fingerprint"), near.alias("near"))
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))

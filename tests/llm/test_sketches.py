@@ -36,8 +36,8 @@ def units(text):
     out = []
     for line in re.split(r"[\n\r]+", text):
         words = list(re.finditer(r"[^\x20\x09-\x0D]+[\x20\x09\x0b\x0c]*", line))
-        for i in range(0, len(words), 16):
-            out.append("".join(w.group() for w in words[i:i + 16]).rstrip(" "))
+        for i in range(0, len(words), sketches.WORDS):
+            out.append("".join(w.group() for w in words[i:i + sketches.WORDS]).rstrip(" "))
     return set(out)
 
 
@@ -54,7 +54,7 @@ def brute(rows):
 
 def test_neighbours_and_likeness(spark, monkeypatch):
     rng = random.Random(5)
-    line = lambda: " ".join("".join(rng.choice("abcdéß😀") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 40)))
+    line = lambda: " ".join("".join(rng.choice("abcdéß😀") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 80)))
     lines = [line() for _ in range(30)]
     rows = [(rng.randint(-10**12, 10**12), "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for _ in range(150)]
     rows[3] = (rows[3][0], "")
