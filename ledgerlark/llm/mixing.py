@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, free_name, id_key, running_sum, stored, whole
 
@@ -26,12 +26,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     weighed = ranked.select("source", "source_size", weight.alias("weight"))
     filled = running_sum(weighed, [], [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"size_to": "source_size", "weight_to": "weight"})
     filled = stored(filled)
-    total = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
-    # before a source: what is stopped ahead of it, and the weights from it on
+    # before a source: what is stopped ahead of it, and the weights from it on; one number leaves the sources
     ahead = F.lit(most) * (F.col("size_to") - F.col("source_size"))
-    left = F.col("weights") - (F.col("weight_to") - F.col("weight"))
-    level = filled.join(F.broadcast(total)).agg(F.max((F.col("total") - ahead) / left).alias("level"))  # one row each
-    return filled.join(F.broadcast(level)).select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.col("level") * F.col("weight")).alias("target"))
+    total, weights_sum = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left = F.lit(weights_sum) - (F.col("weight_to") - F.col("weight"))
+    level = filled.agg(F.max((F.lit(total) - ahead) / left)).first()[0] or 0.0
+    return filled.select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def copies_of(rows: DataFrame, group: list[str], order: list[Column], expected: str, offset: Column) -> DataFrame:
@@ -71,8 +71,6 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.
     # rows that repeat id, text and source share their copies evenly
     rows = docs.withColumns({key: id_key(F.col("doc_id")), text: F.xxhash64(whole()), source: id_key(F.col("source"))})
     by = [key, text, source]
-    from pyspark.sql import Window
-
     first = Window.partitionBy(*by).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"])
     placed = rows.join(drawn.withColumnsRenamed({"total": copies, "rows": f"{copies}_rows"}), by).withColumn(nth, F.row_number().over(first))
     share = F.floor(F.col(copies) / F.col(f"{copies}_rows")) + (F.col(nth) <= F.col(copies) % F.col(f"{copies}_rows")).cast("bigint")
