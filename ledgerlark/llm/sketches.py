@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, free_name, whole
 
-ROWS, WIDTH = 3, 12
+ROWS, WIDTH = 3, 8
 CELLS = ROWS * WIDTH
 ROUNDS = 10
-LOAD = 12  # digests that a part is planned for
+LOAD = 8  # digests that a part is planned for
 WORDS = 32
 PARAGRAPH = rf"(?:{WORD}[\x20\x09\x0B\x0C]*){{1,{WORDS}}}"
 BUCKET_BYTES = 16 << 20
@@ -77,13 +77,15 @@ def peel(cells: Column, seed: int = 0) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         single = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["n"].alias("n"), _placed(c["k"], seed).alias("p"))))
-        return _let(single, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
-            F.zip_with(state["cells"], F.lit(BITS).cast("array<bigint>"), lambda c, bit: F.aggregate(
+        peeled = _let(single, lambda found: F.struct(
+            F.when(F.size(found) == 0, state["cells"]).otherwise(F.zip_with(state["cells"], F.lit(BITS).cast("array<bigint>"), lambda c, bit: F.aggregate(
                 F.filter(found, lambda f: _holds(f["p"], bit)), c,
-                lambda a, f: _cell(a["n"] - f["n"], a["k"].bitwiseXOR(f["p"]["k"]), a["x"].bitwiseXOR(f["p"]["x"])))).alias("cells"),
-            F.concat(state["found"], F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["p"]["k"].alias("k")))).alias("found"))))
+                lambda a, f: _cell(a["n"] - f["n"], a["k"].bitwiseXOR(f["p"]["k"]), a["x"].bitwiseXOR(f["p"]["x"]))))).alias("cells"),
+            F.concat(state["found"], F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["p"]["k"].alias("k")))).alias("found"),
+            (F.size(found) == 0).alias("over")))
+        return F.when(state["over"], state).otherwise(peeled)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:bigint,k:bigint>>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:bigint,k:bigint>>").alias("found"), F.lit(False).alias("over"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
     return _let(done, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0)), s["found"]))
 
