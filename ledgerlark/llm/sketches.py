@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in column expressions only.
 
 A paragraph is a line; lines over 32 words are cut every 32 words. The digests of a text form a set. A sketch adds each digest
-to one cell of each of three rows: a count, an exclusive or of digests and one of check values. Sketches of two texts subtract
-cell by cell; peeling cells that hold a single digest recovers the digests in which the texts differ. Where peeling gets
+to one cell of each of three rows; a cell is one number that sums counts, digests and their check values. Sketches of two texts
+subtract cell by cell; peeling cells that hold a single digest recovers the digests in which the texts differ. Where peeling gets
 stuck, the digests are split by a hash into as many parts as needed, each with a sketch of its own, and again where a part
 gets stuck.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,76 +19,89 @@ from .common import WORD, free_name, whole
 
 ROWS, WIDTH = 3, 8
 CELLS = ROWS * WIDTH
-ROUNDS = 10
+ROUNDS = 30
 LOAD = 8  # digests that a part is planned for
 WORDS = 32
+DIGEST_BITS, CHECK_BITS = 30, 14
+ONE = 1 << (DIGEST_BITS + CHECK_BITS)
 PARAGRAPH = rf"(?:{WORD}[\x20\x09\x0B\x0C]*){{1,{WORDS}}}"
 BUCKET_BYTES = 16 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once; an expression inside a lambda would be computed again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """``body`` of a value that is computed once: an aggregate over nothing whose last step is the body. An expression used inside a
+    lambda would be computed again for every element, and a transform would copy its result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def paragraphs(text: Column) -> Column:
-    """The set of paragraph digests of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(F.rtrim(p))))
+    """The set of paragraph digests of a text, DIGEST_BITS of a hash each."""
+    found = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(F.rtrim(p)).bitwiseAND(F.lit((1 << DIGEST_BITS) - 1))))
 
 
 BITS = [1 << i for i in range(CELLS)]
 
 
-def _placed(digest: Column, seed: int) -> Column:
-    """A digest with its check value and the set bits of its cells, one cell in each row."""
-    bits = [F.element_at(F.lit(BITS[j * WIDTH:(j + 1) * WIDTH]).cast("array<bigint>").cast("array<bigint>"), (F.pmod(F.xxhash64(digest, F.lit(seed * ROWS + j)), F.lit(WIDTH)) + 1).cast("int")) for j in range(ROWS)]
-    return F.struct(digest.alias("k"), _check(digest).alias("x"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("m"))
+def _bits() -> Column:
+    return F.lit(BITS).cast("array<bigint>")
 
 
 def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.xxhash64(digest, F.lit(-1)).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
 
 
-def _holds(placed: Column, bit: Column) -> Column:
-    return placed["m"].bitwiseAND(bit) != 0
+def _cells_of(digest: Column, seed: int) -> Column:
+    """The set bits of the cells of a digest, one in each row."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(F.xxhash64(digest, F.lit(seed * ROWS + j)), F.lit(WIDTH)) + j * WIDTH).cast("int")) for j in range(ROWS)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def _cell(n: Column, k: Column, x: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), x.alias("x"))
+def _code(digest: Column) -> Column:
+    """What a digest adds to a cell: one in the count, the digest and its check value."""
+    return F.shiftleft(digest, CHECK_BITS) + _check(digest) + F.lit(ONE)
+
+
+def _digest(code: Column) -> Column:
+    return F.shiftright(F.abs(code).bitwiseAND(F.lit(ONE - 1)), CHECK_BITS)
 
 
 def sketch(digests: Column, seed: int = 0) -> Column:
-    """Array of cells (n, k, x) of a set of digests."""
-    zero = _cell(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    """Array of the sums of the codes in each cell. Counts up to half a million fit into a cell."""
     return _let(
-        F.transform(digests, lambda d: _placed(d, seed)),
-        lambda placed: F.transform(F.lit(BITS).cast("array<bigint>"), lambda bit: F.aggregate(
-            F.filter(placed, lambda p: _holds(p, bit)), zero, lambda a, p: _cell(a["n"] + 1, a["k"].bitwiseXOR(p["k"]), a["x"].bitwiseXOR(p["x"])))),
+        F.transform(digests, lambda d: F.struct(_code(d).alias("c"), _cells_of(d, seed).alias("m"))),
+        lambda placed: F.transform(_bits(), lambda bit: F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, p: F.when(p["m"].bitwiseAND(bit) == 0, a).otherwise(a + p["c"]))),
     )
 
 
 def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["x"].bitwiseXOR(b["x"])))
+    return F.zip_with(left, right, lambda a, b: a - b)
 
 
 def peel(cells: Column, seed: int = 0) -> Column:
-    """The digests recovered from a subtracted sketch, with the sign of the side that has them; null if peeling gets stuck."""
-    def pure(c: Column) -> Column:
-        return (F.abs(c["n"]) == 1) & (c["x"] == _check(c["k"]))
+    """Signed codes of the digests recovered from a subtracted sketch; null if peeling gets stuck.
+
+    A cell holds a single digest if its count is one and the check value is right; a chance hit leaves cells that are not zero
+    at the end and counts as stuck. A round takes the digests that are alone in a cell of one row, each of them once, off all
+    rows; it ends when three rounds in turn, one for each row, have found none.
+    """
+    def pure(code: Column) -> Column:
+        return (F.shiftright(F.abs(code), CHECK_BITS + DIGEST_BITS) == 1) & (F.abs(code).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)) == _check(_digest(code)))
+
+    def step(state: Column, turn: Column) -> Column:
+        single = F.filter(F.slice(state["cells"], turn % ROWS * WIDTH + 1, F.lit(WIDTH)), pure)
+
+        def without(codes: Column) -> Column:
+            left = _let(F.transform(codes, lambda c: F.struct(c.alias("c"), _cells_of(_digest(c), seed).alias("m"))), lambda found: F.zip_with(
+                state["cells"], _bits(), lambda c, bit: F.aggregate(found, c, lambda a, f: F.when(f["m"].bitwiseAND(bit) == 0, a).otherwise(a - f["c"]))))
+            return F.struct(left.alias("cells"), F.concat(state["found"], codes).alias("found"), F.lit(0).alias("idle"))
 
-    def step(state: Column, _: Column) -> Column:
-        single = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda c: F.struct(c["n"].alias("n"), _placed(c["k"], seed).alias("p"))))
-        peeled = _let(single, lambda found: F.struct(
-            F.when(F.size(found) == 0, state["cells"]).otherwise(F.zip_with(state["cells"], F.lit(BITS).cast("array<bigint>"), lambda c, bit: F.aggregate(
-                F.filter(found, lambda f: _holds(f["p"], bit)), c,
-                lambda a, f: _cell(a["n"] - f["n"], a["k"].bitwiseXOR(f["p"]["k"]), a["x"].bitwiseXOR(f["p"]["x"]))))).alias("cells"),
-            F.concat(state["found"], F.transform(found, lambda f: F.struct(f["n"].alias("n"), f["p"]["k"].alias("k")))).alias("found"),
-            (F.size(found) == 0).alias("over")))
-        return F.when(state["over"], state).otherwise(peeled)
+        idle = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), (state["idle"] + 1).alias("idle"))
+        return F.when(state["idle"] >= ROWS, state).otherwise(_let(single, lambda codes: F.when(F.size(codes) == 0, idle).otherwise(without(codes))))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:bigint,k:bigint>>").alias("found"), F.lit(False).alias("over"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return _let(done, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0)), s["found"]))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("idle"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+    return _let(done, lambda s: F.when(F.forall(s["cells"], lambda c: c == 0), s["found"]))
 
 
 def _attempt(left: Column, right: Column, seed: int) -> Column:
@@ -113,7 +127,8 @@ def _in_parts(left: Column, right: Column, first: Column, second: Column, seed:
 
 
 def difference(left: Column, right: Column, sketches: tuple[Column, Column] | None = None) -> Column:
-    """Signed digests of which only one of two sets of digests has each, recovered from sketches, with retries in more parts.
+    """Digests that only one of two sets has, recovered from sketches as (n, k), n being 1 for the left set and -1 for the right one;
+    with retries in more parts.
 
     ``sketches`` are those of the whole sets, if they are at hand.
     """
@@ -125,7 +140,8 @@ def difference(left: Column, right: Column, sketches: tuple[Column, Column] | No
     whole_sets = peel(subtract(*sketches)) if sketches else _attempt(left, right, 0)
     parts = F.greatest(F.ceil((F.size(left) + F.size(right)) / LOAD).cast("int"), F.lit(2))
     first = F.ceil(F.sqrt(parts)).cast("int")
-    return F.coalesce(whole_sets, _let(first, lambda n: _in_parts(left, right, n, F.ceil(parts / n).cast("int"), 1, solve)))
+    codes = F.coalesce(whole_sets, _let(first, lambda n: _in_parts(left, right, n, F.ceil(parts / n).cast("int"), 1, solve)))
+    return F.transform(codes, lambda c: F.struct(F.signum(c).cast("int").alias("n"), _digest(c).alias("k")))
 
 
 def likeness(left: Column, right: Column, sketches: tuple[Column, Column] | None = None) -> Column:
@@ -135,9 +151,8 @@ def likeness(left: Column, right: Column, sketches: tuple[Column, Column] | None
 
 
 def serialized(cells: Column) -> Column:
-    """Fingerprint: count, digest and check of every cell in hexadecimal."""
-    digits = lambda v, n: F.lpad(F.lower(F.hex(v)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(digits(c["n"], 4), digits(c["k"], 16), digits(c["x"], 8))), "")
+    """Fingerprint: the sum of every cell in hexadecimal."""
+    return F.array_join(F.transform(cells, lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")), "")
 
 
 def with_next(docs: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:

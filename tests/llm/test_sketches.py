@@ -12,8 +12,8 @@ from ledgerlark.llm import sketches
 def sets(seed, sizes):
     rng = random.Random(seed)
     for a, b, common in sizes:
-        shared = [rng.getrandbits(63) for _ in range(common)]
-        yield shared + [rng.getrandbits(63) for _ in range(a)], shared + [-rng.getrandbits(63) for _ in range(b)]
+        shared = [rng.getrandbits(30) for _ in range(common)]
+        yield shared + [rng.getrandbits(29) for _ in range(a)], shared + [(1 << 29) + rng.getrandbits(29) for _ in range(b)]
 
 
 def test_difference_is_exact_at_every_size(spark):
