@@ -26,6 +26,20 @@ DEAD_MEAN = 0.1
 DEAD_MIN_OBSERVED = 5.0
 REEXPLORE_EVERY = 100
 
+# What an outcome counts as success, and its weight, in the calibration of beliefs.
+OUTCOME_WORTH = {"jump": (1.0, 1.0), "gain": (0.5, 0.6), "failed": (0.0, 1.0), "even": (0.1, 0.2)}
+
+# Bounds of the four traffic lights.
+CITE_RATE_GOOD, CITE_RATE_BAD = 0.30, 0.10
+SPREAD_GOOD, SPREAD_BAD = 0.15, 0.05
+CALIBRATION_GOOD, CALIBRATION_BAD = 0.15, 0.30
+REPEAT_RATE_GOOD, REPEAT_RATE_BAD = 0.20, 0.50
+COVERAGE_GOOD, COVERAGE_BAD = 3, 1
+
+# Bounds of fleet attention.
+STALE_DAYS = 7
+ERROR_SHARE_RED = 0.7
+
 # Retrieval.
 MMR_LAMBDA = 0.5
 IMPACT_WEIGHT = 0.15

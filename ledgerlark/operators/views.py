@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import BANDIT_DECAY, DUPLICATE_COSINE, LB_DEADBAND
+from ..constants import BANDIT_DECAY, DUPLICATE_COSINE, LB_DEADBAND, OUTCOME_WORTH
 from ..functions import arrays, rules
 from . import prefix
 
@@ -248,8 +248,12 @@ def bandit_posterior(bandit: DataFrame) -> DataFrame:
 def bandit_calibration(bandit: DataFrame, attempts: DataFrame) -> DataFrame:
     """Belief against the weighted success the attempts really had."""
     failed = (F.col("label") == "regression") | F.col("error_trace").isNotNull()
-    won = F.when(F.col("label") == "jump", 1.0).when(F.col("gain_vs_best") > 0, 0.5).when(failed, 0.0).otherwise(0.1)
-    weight = F.when(F.col("label") == "jump", 1.0).when(F.col("gain_vs_best") > 0, 0.6).when(failed, 1.0).otherwise(0.2)
+
+    def worth(i: int) -> Column:
+        jump, gain, fail, even = (OUTCOME_WORTH[k][i] for k in ("jump", "gain", "failed", "even"))
+        return F.when(F.col("label") == "jump", jump).when(F.col("gain_vs_best") > 0, gain).when(failed, fail).otherwise(even)
+
+    won, weight = worth(0), worth(1)
     scored = attempts.filter("stage = 'reflexion' AND cv_score IS NOT NULL")
     realised = scored.groupBy(F.col("competition_id").alias("scope_key"), "action_type").agg(
         F.sum(won).alias("_won"), F.sum(weight).alias("_weight"),

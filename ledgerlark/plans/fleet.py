@@ -168,10 +168,10 @@ def reflexion_health(
     c = F.col
     return rows.select(
         "competition_id", "cite_rate", "jumps_last10", "posterior_spread", "calibration_gap", "error_rate_slope", "repeat_rate", "action_coverage", "is_stagnant",
-        rules.traffic_light((c("cite_rate") >= 0.30) & (c("jumps_last10") >= 1), (c("cite_rate") < 0.10) | ((c("jumps_last10") == 0) & c("is_stagnant"))).alias("accumulation"),
-        rules.traffic_light((c("posterior_spread") >= 0.15) & (c("calibration_gap") <= 0.15), (c("posterior_spread") < 0.05) | (c("calibration_gap") > 0.30)).alias("bandit"),
-        rules.traffic_light((c("error_rate_slope") < 0) & (c("repeat_rate") <= 0.20), c("repeat_rate") > 0.50).alias("antipattern"),
-        rules.traffic_light(c("action_coverage") >= 3, c("is_stagnant") & (c("action_coverage") <= 1)).alias("exploration"),
+        rules.traffic_light((c("cite_rate") >= K.CITE_RATE_GOOD) & (c("jumps_last10") >= 1), (c("cite_rate") < K.CITE_RATE_BAD) | ((c("jumps_last10") == 0) & c("is_stagnant"))).alias("accumulation"),
+        rules.traffic_light((c("posterior_spread") >= K.SPREAD_GOOD) & (c("calibration_gap") <= K.CALIBRATION_GOOD), (c("posterior_spread") < K.SPREAD_BAD) | (c("calibration_gap") > K.CALIBRATION_BAD)).alias("bandit"),
+        rules.traffic_light((c("error_rate_slope") < 0) & (c("repeat_rate") <= K.REPEAT_RATE_GOOD), c("repeat_rate") > K.REPEAT_RATE_BAD).alias("antipattern"),
+        rules.traffic_light(c("action_coverage") >= K.COVERAGE_GOOD, c("is_stagnant") & (c("action_coverage") <= K.COVERAGE_BAD)).alias("exploration"),
     )
 
 
@@ -193,10 +193,10 @@ def attention(fleet: DataFrame) -> DataFrame:
     def n(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0))
 
-    stale = F.col("days_since_lb").isNull() | (F.col("days_since_lb") > 7)
+    stale = F.col("days_since_lb").isNull() | (F.col("days_since_lb") > K.STALE_DAYS)
     light = (
         F.when(F.col("auto_submit_paused_reason") != "", "red")
-        .when((n("attempts_14d") > 0) & (F.try_divide(n("errors_14d"), n("attempts_14d")) > 0.7), "red")
+        .when((n("attempts_14d") > 0) & (F.try_divide(n("errors_14d"), n("attempts_14d")) > K.ERROR_SHARE_RED), "red")
         .when((n("confirmed") == 0) & (n("quarantined") > 0), "red")
         .when(n("confirmed") == 0, "amber")
         .when(F.col("is_active") & stale, "amber")
