@@ -25,7 +25,7 @@ WORDS = 32
 DIGEST_BITS, CHECK_BITS = 30, 14
 ONE = 1 << (DIGEST_BITS + CHECK_BITS)
 PARAGRAPH = rf"(?:{WORD}[\x20\x09\x0B\x0C]*){{1,{WORDS}}}"
-BUCKET_BYTES = 16 << 20
+RANGES = 4  # ranges of ids for the square root of each megabyte of text: both ranges and their size grow with its root
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,13 +158,13 @@ def serialized(cells: Column) -> Column:
 def with_next(docs: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
     """Adds next_<c> of the row that follows by falling key (then rising tie); after the last comes the first.
 
-    Rows are dealt into ranges of the key of about BUCKET_BYTES of text. Every range ends at a key that occurs, and the rows of
+    Rows are dealt into RANGES * sqrt(megabytes) ranges of the key. Every range ends at a key that occurs, and the rows of
     that key are also dealt to the following range, so a row always finds its successor in its own range.
     """
     bounds = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max(key).alias("high")).first()
     if bounds["high"] is None:
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    n = max(1, math.ceil((bounds["bytes"] or 0) / BUCKET_BYTES))
+    n = max(1, math.ceil(RANGES * math.sqrt((bounds["bytes"] or 0) / (1 << 20))))
     shares = [i / n for i in range(1, n)]
     inner = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * n)).alias("cuts")).first()["cuts"] if shares else []
     cuts = sorted({*inner, bounds["high"]})

@@ -58,8 +58,8 @@ def test_neighbours_and_likeness(spark, monkeypatch):
     lines = [line() for _ in range(30)]
     rows = [(rng.randint(-10**12, 10**12), "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for _ in range(150)]
     rows[3] = (rows[3][0], "")
-    for size in (16 << 20, 500):
-        monkeypatch.setattr(sketches, "BUCKET_BYTES", size)
+    for ranges in (1, 100):
+        monkeypatch.setattr(sketches, "RANGES", ranges)
         got = sketches.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
         assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got} == brute(rows)
     text = dict(rows)
