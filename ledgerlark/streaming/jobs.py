@@ -97,10 +97,20 @@ class Incremental:
         batch.unpersist()
         self._forget(epoch - 2)
 
+    def _folder(self, path: str):
+        """A path and its file system."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _forget(self, epoch: int) -> None:
         if epoch >= 0:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(self._at("state", epoch))
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            folder, files = self._folder(self._at("state", epoch))
+            files.delete(folder, True)
+
+    def epochs(self) -> list[int]:
+        """Epochs whose state is kept."""
+        folder, files = self._folder(f"{self.path}/state")
+        return sorted(int(s.getPath().getName().removeprefix("epoch=")) for s in files.listStatus(folder))
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (
@@ -124,8 +134,7 @@ class Incremental:
 
     def state(self) -> DataFrame:
         """State after the last epoch, of this or an earlier run on the path."""
-        kept = self.spark.read.parquet(f"{self.path}/state")
-        return kept.filter(F.col("epoch") == kept.agg(F.max("epoch")).first()[0]).drop("epoch")
+        return self.spark.read.parquet(self._at("state", self.epochs()[-1]))
 
 
 def _merge(old: DataFrame | None, new: DataFrame, keys: list[str], values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:

@@ -35,7 +35,7 @@ def _rows(df, *cols):
 
 def _run(spark, stream, step):
     job = J.Incremental(spark, work_dir(spark), step).run(stream)
-    assert {r[0] for r in spark.read.parquet(f"{job.path}/state").select("epoch").distinct().collect()} == {2, 3}
+    assert job.epochs() == [2, 3]
     return job
 
 
@@ -100,7 +100,7 @@ def test_repeated_epoch_is_overwritten(spark):
     job.process(base, 0)
     job.process(spark.createDataFrame([(1, 5, "new")], "k int, v int, s string"), 1)
     job.process(spark.createDataFrame([(1, 5, "new")], "k int, v int, s string"), 1)
-    assert sorted(r.s for r in job.state().collect()) == ["b", "new"] and job.rows().count() == 4
+    assert sorted(r.s for r in job.state().collect()) == ["b", "new"] and job.rows().count() == 3
 
 
 def test_restart_goes_on(spark, feed):
