@@ -141,6 +141,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTE
     return rows.repartition(*work).sortWithinPartitions(*work).mapInPandas(partial(_links, partial(_forest, max_bits=max_bits, min_bytes=min_bytes)), "a bigint, b bigint")
 
 
+def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds to (doc_id, fp) the smallest id that can be reached over the edges between the nodes (fp, its smallest id ``low``)."""
+    roots = components(edges)
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    names = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest id that can be reached over links between fingerprints).
 
@@ -149,11 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, m
     """
     prints = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(whole(), width).alias("fp")))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fp"), max_bits, min_bytes, block))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    return named(prints, nodes, links(nodes.select("fp"), max_bits, min_bytes, block))
 
 
 def keep_one(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
@@ -161,7 +166,11 @@ def keep_one(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_byte
 
     Components without any id keep one row, and so do rows that repeat that id: the first by fingerprint and other columns.
     """
-    found = near_duplicates(docs, width, max_bits, min_bytes, block)
+    return lowest(docs, near_duplicates(docs, width, max_bits, min_bytes, block))
+
+
+def lowest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found``."""
     key, fp, nth = (free_name(docs, c) for c in ("_id_key", "_fp", "_nth"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(id_key(F.col("doc_id")).alias(key)).agg(F.min("fp").alias(fp))
     first = Window.partitionBy(key).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"], F.xxhash64(whole()))
