@@ -18,20 +18,25 @@ TREES, DEPTH = 20, 6
 
 KEYWORDS = r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)"
 HARMLESS = r"(?i)(example|sample|test|dummy|placeholder|changeme|mail|version|issue|page|isbn|card|phone|call)"
+DIGESTS = r"(?i)(commit|revision|checksum|digest|sha-?[0-9]*|md5|hash|blob|etag)"
+# Access keys, tokens and signed claims that their form gives away.
+TOKENS = (r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|"
+          r"sk-[A-Za-z0-9_\-]{20,}|[rs]k_(live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*)$")
 # Words whose presence inside a candidate speaks against randomness.
 DICTIONARY = (
     "the and for with from that this example test sample user name mail http https www com org net file data page index image "
     "version default config local server client admin public private null true false value string number date time year month "
     "der die und ein ich les des une que para los por con"
 ).split()
-FEATURES = ["length", "digits", "letters", "uppers", "hexadecimal", "distinct", "transitions", "coverage", "path_test", "path_config", "keyword_before", "harmless_before", "assigned", "quoted"]
+FEATURES = ["length", "digits", "letters", "uppers", "hexadecimal", "distinct", "transitions", "coverage", "path_test", "path_config", "keyword_before", "harmless_before", "assigned", "quoted", "token_form"]
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, start, candidate, before, after): strings of at least 12 letters, digits and ``_+/=.-`` with a digit.
 
     start is the code point where the candidate begins. before holds the three words ahead and what precedes the candidate in
-    its own word, after what follows it. Null texts have none. Rows are independent, so repeated rows repeat their candidates.
+    its own word, after what follows it. A ``name=value`` without quotes is split, so that the name stands before its value, if the
+    value is long enough; a shorter one stays whole. Null texts have none. Rows are independent, so repeated rows repeat their candidates.
     """
     text = whole()
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text"))
@@ -48,10 +53,25 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     found = F.filter(F.regexp_extract_all("word", F.lit(rf"{CORE}{{{LEAST},}}"), F.lit(0)), lambda c: c.rlike("[0-9]"))
     rows = rows.withColumn("candidate", F.explode(F.array_distinct(found)))
     inside = F.instr("word", F.col("candidate")) - 1
-    return rows.select(
+    rows = rows.select(
         "doc_id", "path", (F.col("at") + inside).cast("bigint").alias("start"), "candidate",
         F.concat("ahead", F.substring("word", F.lit(1), inside)).alias("before"),
-        F.rtrim(F.substring("word", inside + F.char_length("candidate") + 1, F.lit(40))).alias("after"))
+        F.substring("word", inside + F.char_length("candidate") + 1, F.lit(40)).alias("after"))
+    return split_names(rows)
+
+
+def split_names(rows: DataFrame) -> DataFrame:
+    """Takes ``name=value`` apart at the last ``=`` that is no padding; a name that could be a secret itself stays a candidate too."""
+    head = F.regexp_extract("candidate", r"^(.*=)[^=]", 1)
+    value, name = F.substring("candidate", F.char_length(head) + 1, F.char_length("candidate")), F.regexp_replace(head, "=+$", "")
+    fits = lambda c: (F.char_length(c) >= LEAST) & c.rlike("[0-9]")
+    part = lambda skip, c, before, after: F.struct((F.col("start") + skip).alias("start"), c.alias("candidate"), before.alias("before"), after.alias("after"))
+    whole_one = part(F.lit(0), F.col("candidate"), F.col("before"), F.col("after"))
+    value_one = part(F.char_length(head), value, F.concat("before", head), F.col("after"))
+    name_one = part(F.lit(0), name, F.col("before"), F.substring(F.concat(F.substring("candidate", F.char_length(name) + 1, F.lit(40)), "after"), 1, 40))
+    parts = F.when(~((head != "") & fits(value)), F.array(whole_one)).when(fits(name), F.array(name_one, value_one)).otherwise(F.array(value_one))
+    rows = rows.select("doc_id", "path", F.explode(parts).alias("p"))
+    return rows.select("doc_id", "path", F.col("p.start").alias("start"), "p.candidate", "p.before", F.rtrim("p.after").alias("after"))
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -68,6 +88,7 @@ def features(found: DataFrame) -> DataFrame:
         "path_test": flag(F.col("path").rlike("(?i)(test|spec|example|doc|sample)")), "path_config": flag(F.col("path").rlike(r"(?i)(\.env|config|settings|\.ya?ml|\.ini|\.properties)")),
         "keyword_before": flag(F.col("before").rlike(KEYWORDS)), "harmless_before": flag(F.col("before").rlike(HARMLESS)),
         "assigned": flag(F.col("before").rlike(rf"[=:][{SPACE}]*[\"'`]?$")), "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
+        "token_form": flag(c.rlike(TOKENS)),
     }
     return found.withColumns(columns)
 
@@ -97,8 +118,21 @@ def score(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 
 
 def verified(found: DataFrame) -> DataFrame:
-    """Labels findings by a strict rule: 1 for a quoted hexadecimal or base-64 value of 32 or more characters that is assigned to a
-    name with a keyword, 0 for every other candidate."""
-    key = F.col("before").rlike(rf"{KEYWORDS}[A-Za-z0-9_\-]*[{SPACE}]*[=:][{SPACE}]*[\"']$")
-    value = F.col("candidate").rlike(r"^([0-9a-fA-F]{32,}|[A-Za-z0-9+/]{32,}={0,2})$") & F.col("after").rlike("^[\"']")
-    return found.withColumn("label", (key & value).cast("int"))
+    """Labels the findings that can be told without a model; the others have a null label and teach nothing.
+
+    1: tokens of a known form, and values assigned to a name with a keyword (quoted or not) that are hexadecimal or base-64 of 32
+    or more characters, or have 16 or more with letters, two digits and no words. 0: without keyword or known form, numbers and
+    dates, what is mostly words, what follows a harmless word, and digests that are named as such.
+    """
+    c, n = F.col("candidate"), F.char_length("candidate")
+    key = F.col("before").rlike(rf"{KEYWORDS}[A-Za-z0-9_.\-]*[\"'`]?[{SPACE}]*[=:]+>?[{SPACE}]*[\"'`]?$")
+    strict = c.rlike(r"^([0-9a-fA-F]{32,}|[A-Za-z0-9+/]{32,}={0,2})$")
+    low = F.lower(c)
+    covered = reduce(lambda a, b: a + b, [F.when(low.contains(w), len(w)).otherwise(0) for w in DICTIONARY if len(w) > 3])
+    mixed = (n >= 16) & c.rlike("[A-Za-z]") & (F.regexp_count(c, F.lit("[0-9]")) >= 2) & (covered == 0)
+    known = c.rlike(TOKENS)
+    harmless = F.col("before").rlike(HARMLESS)
+    numbers = c.rlike(r"^[0-9_+/=.\-]+$")
+    digest = c.rlike("^[0-9a-fA-F]+$") & F.col("before").rlike(rf"{DIGESTS}[^A-Za-z0-9]*$")
+    clear = ~known & ~F.col("before").rlike(KEYWORDS) & (numbers | (covered * 3 >= n) | harmless | digest)
+    return found.withColumn("label", F.when(known | (key & (strict | (mixed & ~harmless))), 1).when(clear, 0).cast("int"))
