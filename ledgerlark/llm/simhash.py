@@ -10,6 +10,7 @@ are verified bit by bit. A list gives a spanning forest of its links instead of
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations, repeat
@@ -121,11 +122,14 @@ def _edges(pairs: list) -> pd.DataFrame:
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links: pairs that share at least
-    ``min_bytes`` positional bytes and differ in at most ``max_bits`` bits. Up to 8 - min_bytes bits the first follows from the second.
+    ``min_bytes`` positional bytes and differ in at most ``max_bits`` bits. Up to 8 - min_bytes bits the first follows from the second;
+    a wider radius loses pairs, which is warned of.
 
     Lists of one fingerprint are dropped before any pair is looked at. A list longer than ``block`` is cut into blocks, and
     every pair of its blocks is a piece of work of its own.
     """
+    if max_bits > 8 - min_bytes:
+        warnings.warn(f"pairs that differ in {9 - min_bytes} to {max_bits} bits are only found if they share {min_bytes} bytes", stacklevel=2)
     masks = [(i, sum(0xFF << (8 * p) for p in positions)) for i, positions in enumerate(lists_for(min_bytes))]
     signed = [(i, m - (1 << 64) if m >> 63 else m) for i, m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("plane"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in signed])

@@ -1,12 +1,13 @@
 """Near-duplicates by five-word shingles against brute force, and the pipeline's stage on both sides of 0.8."""
 
 import random
+import warnings
 
 import pytest
 from test_dedup import roots, word
 
 import corpus_pipeline
-from ledgerlark.llm import jaccard
+from ledgerlark.llm import jaccard, simhash
 
 
 def brute_share(a, b):
@@ -70,3 +71,16 @@ def test_keep_one_edges(spark):
     got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, fp string")).collect()
     assert sorted((str(r["doc_id"]), r["fp"]) for r in got) == [("3", "y"), ("8", "x"), ("None", "n")]
     assert jaccard.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_radius_without_guarantee_is_warned_of(spark):
+    """Seven bits in seven bytes leave one shared byte: lost with three, found with the guaranteed one; the default radius is silent."""
+    a = 0
+    b = sum(1 << 8 * p for p in range(7))
+    df = spark.createDataFrame([(a,), (b,)], "fp bigint")
+    with pytest.warns(UserWarning, match="6 to 7 bits"):
+        assert simhash.links(df, 7, 3).count() == 0
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert simhash.links(df, 7, 1).count() == 1
+        simhash.links(df)
