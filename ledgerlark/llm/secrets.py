@@ -50,9 +50,15 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     ahead = F.slice("words", F.greatest(F.col("i") - 3, F.lit(1)), F.least(F.col("i") - 1, F.lit(3)))
     start = F.aggregate(F.slice("words", F.lit(1), F.col("i") - 1), F.lit(0).cast("bigint"), lambda n, w: n + F.char_length(w))
     rows = rows.select("doc_id", "path", word.alias("word"), F.array_join(ahead, "").alias("ahead"), (F.col("lead") + start).alias("at"))
-    found = F.filter(F.regexp_extract_all("word", F.lit(rf"{CORE}{{{LEAST},}}"), F.lit(0)), lambda c: c.rlike("[0-9]"))
-    rows = rows.withColumn("candidate", F.explode(F.array_distinct(found)))
-    inside = F.instr("word", F.col("candidate")) - 1
+    # runs of candidate characters and what lies between them, in order with a running offset: every occurrence has its own place
+    pieces = F.regexp_extract_all("word", F.lit(rf"{CORE}+|[^{CORE[1:-1]}]+"), F.lit(0))
+    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<inside:int,candidate:string>>").alias("found"))
+    fits = lambda p: (F.char_length(p) >= LEAST) & p.rlike("[0-9]") & p.rlike(f"^{CORE}")
+    walk = F.aggregate(pieces, none, lambda a, p: F.struct(
+        (a["upto"] + F.char_length(p)).alias("upto"),
+        F.when(fits(p), F.concat(a["found"], F.array(F.struct(a["upto"].alias("inside"), p.alias("candidate"))))).otherwise(a["found"]).alias("found")), lambda a: a["found"])
+    rows = rows.withColumn("c", F.explode(walk)).select("*", "c.candidate")
+    inside = F.col("c.inside")
     rows = rows.select(
         "doc_id", "path", (F.col("at") + inside).cast("bigint").alias("start"), "candidate",
         F.concat("ahead", F.substring("word", F.lit(1), inside)).alias("before"),

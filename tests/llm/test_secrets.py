@@ -37,3 +37,10 @@ def test_doubtful_findings_have_no_label(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"]: (r["start"], r["candidate"], r["label"]) for r in secrets.verified(secrets.candidates(df)).collect()}
     assert got == {1: (0, "Zk81mQp20xLw77Rt", None), 2: (8, "Zk81mQp20xLw77Rt", 1), 3: (0, "2024-01-15/1200", 0), 4: (9, "example-config-user1", None)}
+
+
+def test_every_occurrence_has_its_own_start(spark):
+    text = '{"a":"x0123456789ab","b":"0123456789ab","c":"0123456789ab"}'
+    df = spark.createDataFrame([(1, text, "")], "doc_id bigint, text string, source string")
+    got = sorted((r["start"], r["candidate"], r["before"][-1], r["after"][0]) for r in secrets.candidates(df).collect())
+    assert got == [(6, "x0123456789ab", '"', '"'), (26, "0123456789ab", '"', '"'), (45, "0123456789ab", '"', '"')]
