@@ -66,6 +66,18 @@ def test_pipeline_stage_decides_by_shingles(spark):
     assert kept == {i for i, _ in rows if i % 4 != 1}
 
 
+def test_long_texts_of_unlike_sizes(spark):
+    """Texts on both sides of 512 and 1024 shingles, whose parities have different numbers of buckets, link just above 0.8 only."""
+    rng = random.Random(13)
+    rows = []
+    for i, (size, cut) in enumerate(((600, 110), (600, 130), (1100, 200), (1100, 240), (520, 20))):
+        w = [word(rng) for _ in range(size)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[cut:]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == wanted(rows)
+    assert {r["component_id"] for r in got} == {0, 2, 3, 4, 6, 7, 8}
+
+
 def test_keep_one_edges(spark):
     rows = [(5, "a b c d e f g", "x"), (3, "A b c d e f  g", "y"), (None, "null id here", "n"), (8, "other words entirely they are", "x")]
     got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, fp string")).collect()
