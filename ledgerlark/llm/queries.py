@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_dedup, fixity, mixing, secrets, simhash, sketches, suffixes, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, fixity, mixing, periodic, resample, secrets, simhash, sketches, suffixes, toxicity
 from .common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,45 @@ def op9_secret_scan(spark, sf_dir):
 @query()
 def op10_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, len(w[i:i + least(len(w), 10) - 1]) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+h AS (SELECT r, i, size, item FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d) JOIN (SELECT DISTINCT size FROM g) ON i + size - 1 <= len(w)
+  JOIN g USING (size) WHERE array_to_string(w[i:i + size - 1], ' ') = gram),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS p FROM h) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+""")
+def op11_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.summary(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+# DuckDB has no CRC-32, so the SQL computes it: a table of 256 entries by rule, then byte by byte for every distinct word.
+@query(r"""
+WITH tab AS (SELECT list(list_reduce(list_concat([v], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(256)) AS v)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+c AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(CAST(strlen(word) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+  lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295) % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN c USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN c USING (word) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + 10000)) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT sum(t) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT r, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY r),
+p AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM p WHERE n_features >= 20) THEN place END AS "rank" FROM o
+""")
+def op13_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "item_id")
