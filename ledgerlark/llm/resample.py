@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import accumulate, chain, repeat
+from itertools import accumulate, chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import running_sum, stored, whole
 
 BUCKETS = 10_000
+SLAB = 1 << 18  # words that are hashed together; a longer text is hashed by itself
 POLYNOMIAL = 0xEDB88320  # of CRC-32, lowest power in the highest bit
 # bytes to bytes: A-Z to lower case, other ASCII but digits and a-z to a space
 WORD_BYTES = bytes(b + 32 if chr(b).isupper() else b if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -54,11 +55,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split()
 
 
-def _scan(words: list[bytes]) -> tuple[list[int], np.ndarray]:
+def _scan(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Running CRCs of the words joined by spaces: before and after each word in turn; and the lengths of the words."""
     parts = chain.from_iterable(zip(words, repeat(b" ")))
-    crcs = list(accumulate(parts, lambda crc, part: zlib.crc32(part, crc), initial=0))
-    return crcs[:-1], np.fromiter(map(len, words), np.int64, len(words))
+    crcs = accumulate(parts, lambda crc, part: zlib.crc32(part, crc), initial=0)
+    return np.fromiter(islice(crcs, 2 * len(words)), np.uint32, 2 * len(words)), np.fromiter(map(len, words), np.int64, len(words))
 
 
 def ngram_crcs(crcs: np.ndarray, lengths: np.ndarray, first: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -77,25 +78,31 @@ def ngram_crcs(crcs: np.ndarray, lengths: np.ndarray, first: np.ndarray, most: i
     return out
 
 
+def _hashed(scans: list[tuple[np.ndarray, np.ndarray]], most: int, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Number of words and the buckets of all features of a few texts."""
+    crcs, lengths = (np.concatenate(x) for x in zip(*scans))
+    counts = np.array([len(x) for _, x in scans], np.int64)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    found = ngram_crcs(crcs, lengths, first, most)
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    owner = np.concatenate([text_of[at] for at, _ in found])
+    value = (np.concatenate([crc for _, crc in found]) % np.uint32(buckets)).astype(np.int32)
+    if most > 1:
+        value = value[np.argsort(owner, kind="stable")]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32)
+    return pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))
+
+
 def _features(batches: Iterator[pa.RecordBatch], most: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Number of words and the buckets of all features of every text."""
     for batch in batches:
-        crcs, sizes, counts = [], [np.zeros(0, np.int64)], []
-        for text in batch["text"]:
-            running, lengths = _scan(words_of(text.as_py()))
-            crcs += running
-            sizes.append(lengths)
-            counts.append(len(lengths))
-        lengths, counts = np.concatenate(sizes), np.array(counts, np.int64)
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        found = ngram_crcs(np.array(crcs, np.uint32), lengths, first, most)
-        text_of = np.repeat(np.arange(len(counts)), counts)
-        owner = np.concatenate([text_of[at] for at, _ in found])
-        value = np.concatenate([crc for _, crc in found]) % np.uint32(buckets)
-        order = np.argsort(owner, kind="stable") if most > 1 else slice(None)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int32)
-        hashed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[order].astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts), hashed], ["doc_id", "n_words", "buckets"])
+        start, scans, size = 0, [], 0
+        for i, text in enumerate(batch["text"]):
+            scans.append(_scan(words_of(text.as_py())))
+            size += len(scans[-1][1])
+            if size >= SLAB or i + 1 == batch.num_rows:
+                ids = batch["doc_id"].slice(start, len(scans))
+                yield pa.RecordBatch.from_arrays([ids, *_hashed(scans, most, buckets)], ["doc_id", "n_words", "buckets"])
+                start, scans, size = i + 1, [], 0
 
 
 def features(rows: DataFrame, key: str, most: int = 1, buckets: int = BUCKETS) -> DataFrame:
