@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name):
 def test_one_query_per_operator():
     import __spark_entry__ as entry
 
-    assert [sum(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries()
 
 
@@ -40,16 +40,16 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in toxic) == sorted(r["doc_id"] for r in source.collect() if chance(r["text"]) < 0.5)
     norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t)
     assert len({norm(r["text"]) for r in toxic}) == len(exact) == len({norm(r["text"]) for r in exact})
-    from test_dedup import brute_print, roots
+    from test_dedup import roots
     from test_text import filled
 
-    prints = {r["doc_id"]: brute_print(r["text"], 2) for r in exact}
-    same = lambda a, b: bin(a ^ b).count("1") <= 7 and sum((a ^ b) >> 8 * p & 255 == 0 for p in range(8)) >= 3
-    root = roots(sorted(set(prints.values())), same)
-    low = {}
-    for i, p in prints.items():
-        low[root[p]] = min(low.get(root[p], i), i)
-    assert {r["doc_id"] for r in near} == set(low.values())
+    def five(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1)))
+
+    sets = {r["doc_id"]: five(r["text"]) for r in exact}
+    root = roots(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert {r["doc_id"] for r in near} == {min(j for j in sets if root[j] == root[i]) for i in sets}
     sources = sorted({r["source"] for r in near}, key=str.encode)
     size = lambda rows, s: sum(len(r["text"].split()) for r in rows if r["source"] == s)
     want = filled([size(near, s) for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))], 3)
