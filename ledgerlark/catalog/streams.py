@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import work_dir
-from ..streaming import jobs as J
+from ..sources.changelog import ChangeLog
+from ..streaming import jobs as J, keyed
 from . import query, roles
 from .aggregates import NEWEST
 from .shared import at, r
@@ -15,21 +16,28 @@ MARK = "(SELECT max(run_ts) - INTERVAL 1 HOUR FROM attempts)"
 
 
 BATCHES = 4
-_split: dict[tuple, str] = {}
+FILE_ROWS = 1_000_000
+_split: dict[tuple, tuple[str, int]] = {}
 
 
 def _stream(t, table: str, ts: str):
-    """The whole table as a stream of four micro-batches in order of time, from files written once per session."""
+    """The whole table as a stream of four micro-batches in order of time, from files written once per session.
+
+    Every range of time is written by as many tasks as it has millions of rows, one file each, and a micro-batch takes that many.
+    """
     source = t.raw(table)
     key = (t.spark.sparkContext.applicationId, t.dir, table)
     if key not in _split:
-        cuts = source.agg(F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / BATCHES for i in range(1, BATCHES)], 10_000)).first()[0]
-        place = sum(((F.unix_micros(F.col(ts).cast("timestamp")) > c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        cuts, rows = source.agg(F.percentile_approx(micros, [i / BATCHES for i in range(1, BATCHES)], 10_000), F.count("*")).first()
+        place = sum(((micros > c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+        files = 1 + rows // (BATCHES * FILE_ROWS)
         path = work_dir(t.spark)
         for i in range(BATCHES):  # one append after the other, so the files are in order of time
-            source.filter(F.coalesce(place, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
-        _split[key] = path
-    return t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(_split[key])
+            source.filter(F.coalesce(place, F.lit(0)) == i).repartition(files).write.mode("append").parquet(path)
+        _split[key] = path, files
+    path, files = _split[key]
+    return t.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _attempts(t):
@@ -66,45 +74,46 @@ def _(t):
 @query("st_dedup", """SELECT competition_id, sha256(concat_ws('|', printf('%,.9f', cv_score), array_to_string(list_transform(coalesce(fold_scores, []), lambda x: printf('%,.9f', x)), ','))) AS behaviour
  FROM attempts WHERE cv_score IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    # repeats are dropped within the watermark; this one spans the whole table
-    return J.run_append(J.stream_dedup(_attempts(t).filter("cv_score IS NOT NULL"), "3650 days"), work_dir(t.spark))
+    fresh = J.stream_dedup(_attempts(t).filter("cv_score IS NOT NULL"), DELAY)
+    log = ChangeLog(t.spark, work_dir(t.spark), fresh.schema, ["competition_id", "behaviour"], ["behaviour"], buckets=8)
+    return J.first_of_keys(fresh, log, work_dir(t.spark))
 
 
 @query("st_progress", PROGRESS)
 def _(t):
-    job = J.Incremental(t.spark, work_dir(t.spark), J.progress_step(t.competitions))
-    return _plain(job.run(_attempts(t)).rows())
+    return _plain(keyed.run_keyed(keyed.progress(_attempts(t), t.competitions), work_dir(t.spark)))
 
 
 @query("st_error_recurrence", """SELECT attempt_id, run_ts, competition_id, action_type, error_signature, row_number() OVER w AS occurrence_no, row_number() OVER w >= 3 AS alert FROM signed_attempts
  WHERE label = 'error' AND error_signature IS NOT NULL WINDOW w AS (PARTITION BY competition_id, action_type, error_signature ORDER BY run_ts, attempt_id)""")
 def _(t):
     signed = _attempts(t).withColumn("error_signature", text.error_signature(F.col("error_trace")))
-    return _plain(J.Incremental(t.spark, work_dir(t.spark), J.recurrence_step()).run(signed).rows())
+    return _plain(keyed.run_keyed(keyed.error_recurrence(signed), work_dir(t.spark)))
 
 
 @query("st_bandit", "SELECT scope, scope_key, action_type, round(alpha, 6) AS alpha, round(beta, 6) AS beta, updates FROM bandit")
 def _(t):
-    return r(J.Incremental(t.spark, work_dir(t.spark), J.bandit_step()).run(_attempts(t)).state())
+    return r(keyed.newest(keyed.run_keyed(keyed.beliefs(_attempts(t)), work_dir(t.spark)).withColumn("v", F.col("updates")), ["scope", "scope_key", "action_type"], "v"))
 
 
 @query("st_stagnation", f"""SELECT competition_id, count(*) FILTER (WHERE label = 'jump') AS jumps_in_window, coalesce(min(rn) FILTER (WHERE label = 'jump') - 1, count(*)) AS stagnant_for,
  coalesce(min(rn) FILTER (WHERE label = 'jump') - 1, count(*)) >= 3 AS is_stagnant FROM (SELECT *, row_number() OVER {NEWEST} AS rn FROM attempts WHERE was_promoted) WHERE rn <= 5 GROUP BY 1""")
 def _(t):
-    return J.Incremental(t.spark, work_dir(t.spark), J.stagnation_step()).run(_attempts(t)).latest(["competition_id"])
+    return keyed.newest(keyed.run_keyed(keyed.stagnation(_attempts(t)), work_dir(t.spark), expiring=True), ["competition_id"], "seen")
 
 
 @query("st_tripwire", TRIPWIRE)
 def _(t):
     subs = roles.project(_stream(t, "orders", "o_orderdate"), "subs")
-    job = J.Incremental(t.spark, work_dir(t.spark), J.tripwire_step(t.attempts, t.competitions))
-    return job.run(subs).latest(["competition_id"])
+    found = keyed.tripwire(subs, _attempts(t), t.competitions)
+    return keyed.newest(keyed.run_keyed(found, work_dir(t.spark), expiring=True), ["competition_id"], "seen")
 
 
 @query("st_ledger_upsert", """SELECT competition_id, arg_max(submission_id, (submitted_at, submission_id)) AS submission_id, max(submitted_at) AS submitted_at, arg_max(status, (submitted_at, submission_id)) AS status FROM subs GROUP BY 1""")
 def _(t):
     subs = roles.project(_stream(t, "orders", "o_orderdate"), "subs").select("competition_id", "submission_id", "submitted_at", "status")
-    return J.Incremental(t.spark, work_dir(t.spark), J.upsert_step(["competition_id"], ["submitted_at", "submission_id"])).run(subs).state()
+    log = ChangeLog(t.spark, work_dir(t.spark), subs.schema, ["competition_id"], ["submitted_at", "submission_id"], buckets=8)
+    return J.upsert_stream(subs, log, work_dir(t.spark), compact_every=2)
 
 
 @query("st_gate", f"""WITH d AS (SELECT super_cycle_id, run_ts AS t, attempt_id, cv_score IS NOT NULL AND NOT coalesce(futility_early_exit, false) AS ok,
@@ -118,7 +127,7 @@ def _(t):
  count(*) FILTER (WHERE q.ok AND q.t <= fired_at) AS n_success, count(*) FILTER (WHERE q.t <= fired_at) AS n_done, fired_at FROM v LEFT JOIN q USING (super_cycle_id)
  WHERE fired_at <= {MARK} OR fired_at <= ls GROUP BY super_cycle_id, fired_at, tq, ta, tg""")
 def _(t):
-    return _plain(J.Incremental(t.spark, work_dir(t.spark), J.gate_step(keep_sec=86_400)).run(_attempts(t)).rows())
+    return _plain(keyed.run_keyed(keyed.gate(_attempts(t), DELAY, keep_sec=86_400), work_dir(t.spark)))
 
 
 @query("st_gate_batch", """WITH g AS (SELECT super_cycle_id, count(*) FILTER (WHERE cv_score IS NOT NULL AND NOT coalesce(futility_early_exit, false)) AS s, count(*) FILTER (WHERE cv_score IS NOT NULL OR error_trace IS NOT NULL) AS d,

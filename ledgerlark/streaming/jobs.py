@@ -1,12 +1,8 @@
 """Structured Streaming jobs over an append-only feed of attempts or submissions.
 
-Two kinds:
-
 * Windows, sessions and duplicate removal are built-in operators with a watermark, written in append mode.
-* Order-dependent rules run as incremental batches: every micro-batch goes through the same scalable batch
-  operators and is joined with a small state table, one row per key. State and output are written per epoch and
-  overwritten when an epoch is repeated, so a restart after a failure neither loses nor doubles anything. No key has
-  to fit into one task.
+* Keyed tables behind a stream are change logs: a micro-batch appends its rows and rewrites nothing.
+* Order-dependent rules are keyed state; see ``keyed``. The gate's rules are here as columns too, for tables.
 
 The stream's event time must be TIMESTAMP; rows later than the watermark are dropped by the windowed jobs.
 """
@@ -15,13 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import constants as K
 from ..functions import rules
-from ..operators import prefix, summaries, views
+from ..operators import prefix
 from ..sources import tables
+from ..sources.changelog import BUCKET, ChangeLog
 
 
 def run_append(stream: DataFrame, path: str) -> DataFrame:
@@ -65,194 +60,45 @@ def stream_idle(attempts: DataFrame, gap: str = "6 hours", delay: str = "1 hour"
 
 
 def stream_dedup(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First attempt per behaviour key; repeats within the watermark are dropped."""
+    """First attempt per behaviour key; repeats within the watermark are dropped, older ones by ``first_of_keys``."""
     keyed = attempts.withColumn("behaviour", rules.behaviour_key(F.col("cv_score"), F.col("fold_scores")))
     return keyed.withWatermark("run_ts", delay).dropDuplicatesWithinWatermark(["competition_id", "behaviour"]).select("competition_id", "behaviour")
 
 
-# --- incremental batches -------------------------------------------------------------------------------------------------
-
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+# --- tables behind a stream ------------------------------------------------------------------------------------------------
 
 
-class Incremental:
-    """Runs ``step(batch, state) -> (output, new state)`` per micro-batch with versioned state and output.
+def first_of_keys(stream: DataFrame, log: ChangeLog, path: str) -> DataFrame:
+    """Keys of a stream that never came before, each once, for good.
 
-    A repeated epoch overwrites its own folders. State is kept for the last two epochs, so a repeated epoch still finds the one
-    before it; a new run on the same path goes on from there.
+    The stream has dropped what its watermark remembers; what is left meets the history of all keys, read from the buckets
+    that the micro-batch touches. A repeated micro-batch looks at earlier versions only and replaces its own rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, step: Step):
-        self.spark, self.path, self.step = spark, path, step
-
-    def _at(self, kind: str, epoch: int) -> str:
-        return f"{self.path}/{kind}/epoch={epoch}"
-
-    def process(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(self._at("state", epoch - 1)) if epoch else None
-        output, new_state = self.step(batch.persist(), state)
-        new_state.write.mode("overwrite").parquet(self._at("state", epoch))
-        output.write.mode("overwrite").parquet(self._at("rows", epoch))
-        batch.unpersist()
-        self._forget(epoch - 2)
-
-    def _folder(self, path: str):
-        """A path and its file system."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _forget(self, epoch: int) -> None:
-        if epoch >= 0:
-            folder, files = self._folder(self._at("state", epoch))
-            files.delete(folder, True)
-
-    def epochs(self) -> list[int]:
-        """Epochs whose state is kept."""
-        folder, files = self._folder(f"{self.path}/state")
-        return sorted(int(s.getPath().getName().removeprefix("epoch=")) for s in files.listStatus(folder))
-
-    def start(self, stream: DataFrame) -> StreamingQuery:
-        return (
-            stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.path}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-
-    def run(self, stream: DataFrame) -> "Incremental":
-        self.start(stream).awaitTermination()
-        return self
-
-    def rows(self) -> DataFrame:
-        """Output of all epochs."""
-        return self.spark.read.parquet(f"{self.path}/rows").drop("epoch")
-
-    def latest(self, keys: list[str]) -> DataFrame:
-        """The newest output row of every key."""
-        rows = self.spark.read.parquet(f"{self.path}/rows")
-        values = [c for c in rows.columns if c not in (*keys, "epoch")]
-        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_row")).select(*keys, "_row.*")
-
-    def state(self) -> DataFrame:
-        """State after the last epoch, of this or an earlier run on the path."""
-        return self.spark.read.parquet(self._at("state", self.epochs()[-1]))
-
-
-def _merge(old: DataFrame | None, new: DataFrame, keys: list[str], values: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """State rows of both sides, combined per key; each value is null where a side has no row."""
-    if old is None:
-        return new
-    right = new.select(*keys, *[F.col(v).alias(f"_new_{v}") for v in values])
-    joined = old.join(right, keys, "full_outer")
-    return joined.select(*keys, *[fn(F.col(v), F.col(f"_new_{v}")).alias(v) for v, fn in values.items()])
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-
-
-def progress_step(competitions: DataFrame) -> Step:
-    """Attempt number and signed running best across batches."""
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        rows = views.score_progression(batch, competitions)
-        signs = competitions.select("competition_id", "metric_sign")
-        rows = rows.join(signs, "competition_id")
-        if state is not None:
-            rows = rows.join(state.select("competition_id", F.col("n").alias("_n"), F.col("best").alias("_b")), "competition_id", "left")
-            best = F.greatest(F.col("metric_sign") * F.col("best_so_far"), F.col("_b"))
-            rows = rows.withColumns({"attempt_no": F.col("attempt_no") + F.coalesce("_n", F.lit(0)), "best_so_far": best * F.col("metric_sign")}).drop("_n", "_b")
-        new = batch.select("competition_id", "cv_score").join(signs, "competition_id").groupBy("competition_id").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.col("metric_sign") * F.col("cv_score")).alias("best")
-        )
-        return rows.drop("metric_sign"), _merge(state, new, ["competition_id"], {"n": _plus, "best": F.greatest})
-
-    return step
-
-
-SIGNATURE_KEYS = ["competition_id", "action_type", "error_signature"]
-
-
-def recurrence_step(alert_from: int = 3) -> Step:
-    """Number of every error within its signature; the third and later ones raise an alert."""
+    def process(batch: DataFrame, epoch: int) -> None:
+        keys = batch.select(*log.columns).dropDuplicates(log.keys).persist()
+        log.append(log.absent(keys, epoch), epoch)
+        keys.unpersist()
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        errors = batch.filter("label = 'error' AND error_signature IS NOT NULL").select("attempt_id", "run_ts", *SIGNATURE_KEYS)
-        sliced = prefix.with_slice(errors, SIGNATURE_KEYS, prefix.time_position("run_ts"))
-        rows = prefix.running(sliced, SIGNATURE_KEYS, [F.col("run_ts"), F.col("attempt_id")], {"occurrence_no": ("count", F.lit(1))})
-        if state is not None:
-            rows = rows.join(state.withColumnRenamed("n", "_n"), SIGNATURE_KEYS, "left").withColumn("occurrence_no", F.col("occurrence_no") + F.coalesce("_n", F.lit(0))).drop("_n")
-        new = errors.groupBy(*SIGNATURE_KEYS).agg(F.count(F.lit(1)).alias("n"))
-        return rows.withColumn("alert", F.col("occurrence_no") >= alert_from), _merge(state, new, SIGNATURE_KEYS, {"n": _plus})
+    _for_each_batch(stream, process, path)
+    return log.changes().drop(BUCKET)
 
-    return step
 
+def upsert_stream(stream: DataFrame, log: ChangeLog, path: str, compact_every: int = 0) -> DataFrame:
+    """Appends every micro-batch, newest row per key, to the change log and returns the merged table."""
 
-def bandit_step() -> Step:
-    """Decayed belief per competition and action; a batch of n updates decays the earlier evidence n times."""
-    keys = ["scope", "scope_key", "action_type"]
+    def process(batch: DataFrame, epoch: int) -> None:
+        log.append(tables.newest_by_key(batch.select(*log.columns), log.keys, log.order), epoch)
+        if compact_every and (epoch + 1) % compact_every == 0:
+            log.compact()
 
-    def step(batch: DataFrame, state: DataFrame | None):
-        new = views.bandit_replay(batch)
-        changed = new.select(*keys)
-        if state is not None:
-            old = state.select(*keys, F.col("alpha").alias("_a"), F.col("beta").alias("_b"), F.col("updates").alias("_u"))
-            both = old.join(new, keys, "full_outer")
-            fade = F.pow(F.lit(K.BANDIT_DECAY), F.coalesce("updates", F.lit(0)))
+    _for_each_batch(stream, process, path)
+    return log.table()
 
-            def shift(own: str, before: str) -> Column:
-                return F.coalesce(F.col(own), F.lit(1.0)) + (F.coalesce(F.col(before), F.lit(1.0)) - 1.0) * fade
 
-            new = both.select(*keys, shift("alpha", "_a").alias("alpha"), shift("beta", "_b").alias("beta"), _plus(F.col("_u"), F.col("updates")).alias("updates"))
-        return new.join(changed, keys, "left_semi"), new
-
-    return step
-
-
-def stagnation_step(window: int = 5, threshold: int = 3) -> Step:
-    """Winners since the last jump, from the newest winners kept per competition."""
-    cols = ["competition_id", "label", "run_ts", "attempt_id"]
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        winners = batch.filter("was_promoted").select(*cols)
-        pool = winners if state is None else winners.unionByName(state)
-        newest = prefix.newest_per_key(pool, ["competition_id"], summaries.newest_first(), window)
-        touched = winners.select("competition_id").distinct()
-        counts = newest.join(touched, "competition_id", "left_semi").groupBy("competition_id").agg(
-            F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == "jump").alias("jumps_in_window"), F.min(F.when(F.col("label") == "jump", F.col("rn"))).alias("_jump")
-        )
-        since = F.coalesce(F.col("_jump") - 1, F.col("_n")).cast("long")
-        rows = counts.select("competition_id", "jumps_in_window", since.alias("stagnant_for"), (since >= threshold).alias("is_stagnant"))
-        return rows, newest.drop("rn")
-
-    return step
-
-
-def tripwire_step(attempts: DataFrame, competitions: DataFrame) -> Step:
-    """Divergence of own and external score over the newest four complete submissions kept per competition."""
-    cols = ["submission_id", "competition_id", "submitted_at", "attempt_id", "lb_score", "status"]
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        done = batch.filter("status = 'complete' AND lb_score IS NOT NULL").select(*cols)
-        scored = done.join(attempts.filter("cv_score IS NOT NULL").select("attempt_id"), "attempt_id", "left_semi")
-        pool = scored if state is None else scored.unionByName(state)
-        newest = prefix.newest_per_key(pool, ["competition_id"], [F.col("submitted_at").desc(), F.col("submission_id").desc()], 4).drop("rn")
-        touched = newest.join(scored.select("competition_id").distinct(), "competition_id", "left_semi")
-        return views.cv_lb_tripwire(touched, attempts, competitions), newest
-
-    return step
-
-
-def upsert_step(keys: list[str], order: list[str]) -> Step:
-    """Applies appended updates to a table, newest per key."""
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        new = tables.newest_by_key(batch, keys, order)
-        if state is None:
-            return new, new
-        merged = tables.newest_by_key(state.unionByName(new), keys, order)
-        return merged.join(new.select(*keys), keys, "left_semi"), merged
-
-    return step
+def _for_each_batch(stream: DataFrame, process: Callable[[DataFrame, int], None], path: str) -> None:
+    query = stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 # --- gate ----------------------------------------------------------------------------------------------------------------
@@ -306,31 +152,3 @@ def gate_events(facts: DataFrame, mark: Column, *, expected: int, min_done: int,
         "super_cycle_id", "reason", F.coalesce(F.size(F.filter(seen, lambda e: e["ok"])), F.lit(0)).cast("long").alias("n_success"),
         F.coalesce(F.size(seen), F.lit(0)).cast("long").alias("n_done"), "fired_at",
     )
-
-
-def gate_step(expected: int = 3, min_done: int = 2, grace_sec: int = 900, max_wait_sec: int = 3000, delay: str = "'1' HOUR", keep_sec: int = 0) -> Step:
-    """Fires every super cycle once: on enough successes, on all results, after the grace or the longest wait.
-
-    The clock is the newest event time seen minus the delay. A fired super cycle stays in the state until the clock
-    has passed its longest wait and ``keep_sec`` more, so late attempts do not start a second round.
-    """
-
-    def step(batch: DataFrame, state: DataFrame | None):
-        facts = gate_facts(batch, expected).withColumn("fired", F.lit(False))
-        if state is not None:
-            both = state.drop("clock").unionByName(facts)
-            merged = F.slice(F.sort_array(F.flatten(F.collect_list("results"))), 1, expected)
-            facts = both.groupBy("super_cycle_id").agg(
-                F.min("start").alias("start"), F.min("first_full").alias("first_full"), F.max("last_seen").alias("last_seen"),
-                merged.alias("results"), F.bool_or("fired").alias("fired"),
-            )
-        newest = batch.agg(F.max("run_ts")).scalar()
-        clock = newest if state is None else F.greatest(newest, state.agg(F.max("clock")).scalar())
-        mark = clock - F.expr(f"INTERVAL {delay}")
-        events = gate_events(facts.filter("NOT fired"), mark, expected=expected, min_done=min_done, grace_sec=grace_sec, max_wait_sec=max_wait_sec)
-        hit = events.select("super_cycle_id", F.lit(True).alias("_hit"))
-        new = facts.join(hit, "super_cycle_id", "left").withColumns({"fired": F.col("fired") | F.coalesce("_hit", F.lit(False)), "clock": clock}).drop("_hit")
-        expired = F.col("fired") & (F.col("start") + F.expr(f"INTERVAL '{max_wait_sec + keep_sec}' SECOND") <= mark)
-        return events, new.filter(~expired)
-
-    return step
