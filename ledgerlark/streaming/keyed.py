@@ -2,7 +2,7 @@
 
 A micro-batch reads and writes the state of the keys it holds and of no others, so its cost follows its rows and not the keys
 ever seen; the store writes change logs and takes part in the checkpoint of the query, which makes a restart exact.
-Every processor takes the rows of one key in blocks. Those that need an order keep three numbers a row of the
+Every processor takes the rows of one key one after the other. Those that need an order sort the rows of the key in the
 micro-batch (its size is bounded by the source, for example ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``) and go on from
 the state; rows that arrive in a later micro-batch are placed after it, whatever their time. The others keep a bounded list.
 Times go in and out as microseconds.
@@ -13,9 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from .. import constants as K
@@ -24,7 +22,8 @@ from ..operators.views import noop_tie
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-KEEP = "90 days"  # lists of a key that gets no rows for so long are dropped by the store
+CHANGES_ONLY = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"  # a batch uploads its changes, not the store
+KEEP_MS = 90 * 86_400_000  # lists of a key that gets no rows for so long are dropped by the store
 
 
 @contextmanager
@@ -46,7 +45,7 @@ def run_keyed(stream: DataFrame, path: str, expiring: bool = False) -> DataFrame
     State lives in RocksDB. ``expiring`` is for rules whose state has a time to live: the clock of such a query never
     stands still, so it is told not to run batches without data, which would never end.
     """
-    values = {PROVIDER: ROCKSDB, **({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if expiring else {})}
+    values = {PROVIDER: ROCKSDB, CHANGES_ONLY: "true", **({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if expiring else {})}
     with settings(stream.sparkSession, values):
         query = (
             stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
@@ -73,36 +72,33 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame | None:
-    parts = [p for p in rows if len(p)]
-    if not parts:
-        return None
-    return (parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)).sort_values(order, kind="stable")
+def _ordered(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r["run_ts"], r["attempt_id"]))
 
 
 def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "None", initial: DataFrame | None = None) -> DataFrame:
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", time, initial.groupBy(*keys) if initial is not None else None)
+    processor.out = Row(*[c.split()[0] for c in schema.split(", ")])  # makes named rows
+    return stream.groupBy(*keys).transformWithState(processor, schema, "Append", time, initial.groupBy(*keys) if initial is not None else None)
 
 
 # --- numbers and running bests ---------------------------------------------------------------------------------------------
 
 
 class Progress(StatefulProcessor):
-    """State: attempts so far, whether one had a score, the best signed score. A NaN score counts as none."""
+    """State: attempts so far and the best signed score. A NaN score counts as none."""
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("progress", "n bigint, scored boolean, best double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["run_ts", "attempt_id"])
-        if batch is None:
-            return
-        n, scored, best = self.state.get() if self.state.exists() else (0, False, 0.0)
-        upto = np.fmax.accumulate(np.concatenate([[best if scored else np.nan], batch["signed"].to_numpy(np.float64, na_value=np.nan)]))[1:]
-        last = upto[-1]
-        self.state.update((int(n) + len(batch), bool(last == last), float(last) if last == last else 0.0))
-        upto = pd.Series(upto, batch.index) * batch["metric_sign"]
-        yield batch.drop(columns=["signed", "metric_sign"]).assign(attempt_no=np.arange(n + 1, n + 1 + len(batch)), best_so_far=upto.astype(object).where(upto.notna(), None))
+        self.state = handle.getValueState("progress", "n bigint, best double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, best = self.state.get() or (0, None)
+        for row in _ordered(rows):
+            signed = row["signed"]
+            if signed is not None and signed == signed and (best is None or signed > best):
+                best = signed
+            n += 1
+            yield self.out(*row[:len(PROGRESS_COLUMNS)], n, None if best is None else best * row["metric_sign"])
+        self.state.update((n, best))
 
     def close(self) -> None:
         pass
@@ -118,7 +114,7 @@ def progress(attempts: DataFrame, competitions: DataFrame, initial: DataFrame |
     """
     signs = competitions.select("competition_id", F.col("metric_sign").cast("double").alias("metric_sign"))
     rows = attempts.select(*PROGRESS_COLUMNS).join(signs, "competition_id")
-    rows = rows.withColumns({"run_ts": _micros("run_ts"), "signed": F.col("metric_sign") * F.col("cv_score")})
+    rows = rows.select(*[_micros(c).alias(c) if c == "run_ts" else c for c in PROGRESS_COLUMNS], "metric_sign", (F.col("metric_sign") * F.col("cv_score")).alias("signed"))
     types = {**dict(attempts.select(*PROGRESS_COLUMNS).dtypes), "run_ts": "bigint"}
     schema = ", ".join(f"{c} {types[c]}" for c in PROGRESS_COLUMNS) + ", attempt_no bigint, best_so_far double"
     processor = Progress() if initial is None else SeededProgress()
@@ -127,10 +123,8 @@ def progress(attempts: DataFrame, competitions: DataFrame, initial: DataFrame |
 
 
 class SeededProgress(Progress):
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        n, best = int(initialState["n"].iloc[0]), initialState["best"].iloc[0]
-        known = best is not None and best == best
-        self.state.update((n, bool(known), float(best) if known else 0.0))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update((initialState["n"], initialState["best"]))
 
 
 SIGNATURE_KEYS = ["competition_id", "action_type", "error_signature"]
@@ -142,13 +136,12 @@ class Recurrence(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("errors", "n bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["run_ts", "attempt_id"])
-        if batch is None:
-            return
-        n = int(self.state.get()[0]) if self.state.exists() else 0
-        self.state.update((n + len(batch),))
-        yield batch.assign(occurrence_no=np.arange(n + 1, n + 1 + len(batch)))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (n,) = self.state.get() or (0,)
+        for row in _ordered(rows):
+            n += 1
+            yield self.out(*row, n)
+        self.state.update((n,))
 
     def close(self) -> None:
         pass
@@ -171,16 +164,13 @@ class Belief(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("belief", "alpha double, beta double, updates bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, ["run_ts", "attempt_id"])
-        if batch is None:
-            return
-        alpha, beta, updates = self.state.get() if self.state.exists() else (1.0, 1.0, 0)
-        fade = self.decay ** np.arange(len(batch), -1, -1)
-        alpha = 1.0 + (alpha - 1.0) * fade[0] + float((batch["up"].to_numpy() * fade[1:]).sum())
-        beta = 1.0 + (beta - 1.0) * fade[0] + float((batch["down"].to_numpy() * fade[1:]).sum())
-        self.state.update((alpha, beta, int(updates) + len(batch)))
-        yield pd.DataFrame({"scope_key": [key[0]], "action_type": [key[1]], "alpha": [alpha], "beta": [beta], "updates": [int(updates) + len(batch)]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        alpha, beta, updates = self.state.get() or (1.0, 1.0, 0)
+        for row in _ordered(rows):
+            alpha, beta = 1.0 + (alpha - 1.0) * self.decay + row["up"], 1.0 + (beta - 1.0) * self.decay + row["down"]
+            updates += 1
+        self.state.update((alpha, beta, updates))
+        yield self.out(key[0], key[1], alpha, beta, updates)
 
     def close(self) -> None:
         pass
@@ -201,35 +191,33 @@ def beliefs(attempts: DataFrame) -> DataFrame:
 
 
 class NewestList(StatefulProcessor):
-    """Keeps the newest few rows of a key, in any order of arrival; the list expires if the key gets no rows for ``KEEP``."""
+    """Keeps the newest few rows of a key by its first two columns, in any order of arrival; the list expires if the key gets no
+    rows for ``KEEP_MS``."""
 
-    def __init__(self, schema: str, order: list[str], size: int):
-        self.schema, self.order, self.size = schema, order, size
+    def __init__(self, schema: str, size: int):
+        self.schema, self.size = schema, size
         self.columns = [c.split()[0] for c in schema.split(", ")]
 
     def init(self, handle) -> None:
-        ttl = int(pd.Timedelta(KEEP).total_seconds() * 1000)
-        self.rows = handle.getListState("newest", self.schema, ttl)
-        self.seen = handle.getValueState("seen", "n bigint", ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, n = [dict(zip(self.columns, r)) for r in self.rows.get()], 0
-        best = pd.DataFrame(held, columns=self.columns)
-        for batch in rows:
-            n += len(batch)
-            both = batch[self.columns] if best.empty else pd.concat([best, batch[self.columns]], ignore_index=True)
-            best = both.sort_values(self.order, ascending=False, kind="stable").head(self.size)
-        if n == 0:
-            return
-        best = best.astype(object).where(best.notna(), None)
-        total = n + (int(self.seen.get()[0]) if self.seen.exists() else 0)
-        self.rows.put([tuple(r) for r in best.itertuples(index=False)])
-        self.seen.update((total,))
+        self.rows = handle.getListState("newest", self.schema, KEEP_MS)
+        self.seen = handle.getValueState("seen", "n bigint", KEEP_MS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best, n = [tuple(r) for r in self.rows.get()], 0
+        for row in rows:
+            n += 1
+            new = tuple(row[c] for c in self.columns)
+            if len(best) < self.size or new[:2] > best[-1][:2]:
+                best = sorted([*best, new], key=lambda r: r[:2], reverse=True)[:self.size]
+        (before,) = self.seen.get() or (0,)
+        self.rows.put(best)
+        self.seen.update((before + n,))
         result = self.judge(best)
         if result is not None:
-            yield pd.DataFrame([{"competition_id": key[0], **result, "seen": total}])
+            yield self.out(key[0], *result, before + n)
 
-    def judge(self, newest: pd.DataFrame) -> dict | None:
+    def judge(self, newest: list[tuple]) -> tuple | None:
+        """What the newest rows of a key say, newest first."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -238,13 +226,13 @@ class NewestList(StatefulProcessor):
 
 class Stagnation(NewestList):
     def __init__(self, window: int, threshold: int):
-        super().__init__("run_ts bigint, attempt_id bigint, label string", ["run_ts", "attempt_id"], window)
+        super().__init__("run_ts bigint, attempt_id bigint, label string", window)
         self.threshold = threshold
 
-    def judge(self, newest: pd.DataFrame) -> dict:
-        jumps = np.flatnonzero((newest["label"] == "jump").to_numpy())
-        since = int(jumps[0]) if len(jumps) else len(newest)
-        return {"jumps_in_window": len(jumps), "stagnant_for": since, "is_stagnant": since >= self.threshold}
+    def judge(self, newest: list[tuple]) -> tuple:
+        jumps = [i for i, row in enumerate(newest) if row[2] == "jump"]
+        since = jumps[0] if jumps else len(newest)
+        return len(jumps), since, since >= self.threshold
 
 
 def stagnation(attempts: DataFrame, window: int = 5, threshold: int = 3) -> DataFrame:
@@ -256,15 +244,16 @@ def stagnation(attempts: DataFrame, window: int = 5, threshold: int = 3) -> Data
 
 class Tripwire(NewestList):
     def __init__(self, size: int, deadband: float):
-        super().__init__("submitted_at bigint, submission_id bigint, attempt_id bigint, cv double, lb double, sign double", ["submitted_at", "submission_id"], size)
+        super().__init__("submitted_at bigint, submission_id bigint, attempt_id bigint, cv double, lb double, sign double", size)
         self.deadband = deadband
 
-    def judge(self, newest: pd.DataFrame) -> dict | None:
+    def judge(self, newest: list[tuple]) -> tuple | None:
         if len(newest) < 2:
             return None
-        cv, lb, sign = (newest[c].to_numpy(float) for c in ("cv", "lb", "sign"))
-        apart = (sign[:-1] * (cv[:-1] - cv[1:]) > 0) & (sign[:-1] * (lb[:-1] - lb[1:]) < -self.deadband * np.abs(lb[1:]))
-        return {"n_deltas": len(apart), "n_diverged": int(apart.sum()), "newest_attempt": int(newest["attempt_id"].iloc[0]), "tripped": bool(apart.sum() >= 2)}
+        apart = 0
+        for (*_, cv, lb, sign), (*_, old_cv, old_lb, _) in zip(newest, newest[1:]):
+            apart += sign * (cv - old_cv) > 0 and sign * (lb - old_lb) < -self.deadband * abs(old_lb)
+        return len(newest) - 1, apart, newest[0][2], apart >= 2
 
 
 def tripwire(subs: DataFrame, attempts: DataFrame, competitions: DataFrame, size: int = 4) -> DataFrame:
@@ -294,8 +283,6 @@ class Gate(StatefulProcessor):
     remembered, so that late attempts start no second round, until its last timer removes all of its state.
     """
 
-    RESULTS = 3  # columns of a result: time, id, success
-
     def __init__(self, expected: int, min_done: int, grace_sec: int, max_wait_sec: int, keep_sec: int):
         self.expected, self.min_done = expected, min_done
         self.grace, self.longest, self.keep = (s * 1_000_000 for s in (grace_sec, max_wait_sec, keep_sec))
@@ -327,7 +314,7 @@ class Gate(StatefulProcessor):
             self.handle.registerTimer(due)
         return due
 
-    def _fire(self, key, start: int, full: int | None, seen: int, results: list[tuple], held: int, mark: int) -> Iterator[pd.DataFrame]:
+    def _fire(self, key, start: int, full: int | None, seen: int, results: list[tuple], held: int, mark: int) -> Iterator[Row]:
         at, reason = self._opens(start, full, results)
         if at <= max(seen, mark):
             until = start + self.longest + self.keep
@@ -337,36 +324,34 @@ class Gate(StatefulProcessor):
                 self.facts.clear()  # the clock is past everything that may still come
             self.results.clear()
             early = [r for r in results if r[0] <= at]
-            yield pd.DataFrame({"super_cycle_id": [key[0]], "reason": [reason], "n_success": [sum(bool(r[2]) for r in early)], "n_done": [len(early)], "fired_at": [at]})
+            yield self.out(key[0], reason, sum(r[2] for r in early), len(early), at)
         else:
             self.facts.update((start, full, seen, False, self._wait(at, held)))
             self.results.put(results)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.facts.exists()
-        start, full, seen, fired, held = self.facts.get() if known else (None, None, None, False, -1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.facts.get()
+        start, full, seen, fired, held = known or (None, None, None, False, -1)
         if fired:
             for _ in rows:
                 pass
             return
         results = [tuple(r) for r in self.results.get()] if known else []
-        for batch in rows:
-            if not len(batch):
-                continue
-            first, last = int(batch["run_ts"].min()), int(batch["run_ts"].max())
-            start, seen = min(first, start if start is not None else first), max(last, seen if seen is not None else last)
-            complete = batch.loc[batch["complete"], "run_ts"]
-            if len(complete):
-                full = min(int(complete.min()), full if full is not None else int(complete.min()))
-            done = batch.loc[batch["done"], ["run_ts", "attempt_id", "ok"]].sort_values(["run_ts", "attempt_id"]).head(self.expected)
-            results = sorted(results + [(int(a), int(i), bool(o)) for a, i, o in done.itertuples(index=False)])[:self.expected]
+        for row in rows:
+            at = row["run_ts"]
+            start, seen = at if start is None else min(at, start), at if seen is None else max(at, seen)
+            if row["complete"]:
+                full = at if full is None else min(at, full)
+            if row["done"]:
+                results = sorted([*results, (at, row["attempt_id"], row["ok"])])[:self.expected]
         if start is not None:
             yield from self._fire(key, start, full, seen, results, held, -1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.facts.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.facts.get()
+        if not known:
             return
-        start, full, seen, fired, held = self.facts.get()
+        start, full, seen, fired, _ = known
         if fired:
             self.facts.clear()
             self.results.clear()
