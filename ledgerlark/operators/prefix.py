@@ -29,23 +29,27 @@ def time_position(ts: str) -> Column:
 def with_slice(df: DataFrame, keys: Sequence[str], position: Column, n: int | None = None) -> DataFrame:
     """Add the slice number: 0 for ordinary keys, 1 to n for hot ones, cut at quantiles of their ``position``.
 
-    Hot are the keys with more than ``spark.ledgerlark.hotRows`` rows, null keys too. One aggregation over the key and
-    position columns gives their counts and cut points; the join with it is planned by size. Rows of equal position share a
-    slice; null positions come first, as in the order of the rows.
+    Hot are the keys with more than ``spark.ledgerlark.hotRows`` rows, null keys too. They are counted first, a partial
+    aggregation over the key columns; without a hot key that is all, and the rows pass as they are. Otherwise quantiles are
+    taken over the rows of the hot keys alone, and the join with the cut points is planned by size. Rows of equal position
+    share a slice; null positions come first, as in the order of the rows.
     """
     n = n or slice_count(df.sparkSession)
-    own = df.withColumn("_place", position.cast("double"))
-    shares = [i / n for i in range(1, n)]
-    cuts = F.percentile_approx("_place", shares, max(1000, 20 * n)) if shares else F.array().cast("array<double>")
-    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in_key"), cuts.alias("_cut_points"))
+    place = position.cast("double")
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in_key")).filter(F.col("_in_key") > hot_rows(df.sparkSession))
+    if n < 2 or hot.isEmpty():
+        return df.withColumn(SLICE, F.lit(0))
+    hot = hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)])
+    hot_rows_only = df.select(*keys, place.alias("_place")).join(hot, same, "left_semi")
+    cuts = F.percentile_approx("_place", [i / n for i in range(1, n)], max(1000, 20 * n)).alias("_cut_points")
+    found = hot_rows_only.groupBy(*keys).agg(cuts).filter(F.size("_cut_points") > 0).withColumn("_cut_points", F.array_distinct("_cut_points"))
     # cut points in blocks, so that a row is compared with about twice the root of their number
     step = max(1, math.isqrt(n))
     blocks = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // step)), lambda i: F.slice("_cut_points", i * step + 1, F.lit(step)))
-    hot = counts.filter((F.col("_in_key") > hot_rows(df.sparkSession)) & (F.size("_cut_points") > 0))
-    hot = hot.withColumn("_cut_points", F.array_distinct("_cut_points")).withColumn("_blocks", F.filter(blocks, lambda b: F.size(b) > 0))
-    hot = hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_blocks", F.transform("_blocks", lambda b: F.element_at(b, -1)).alias("_ends"))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot{i}")) for i, k in enumerate(keys)])
-    marked = own.join(hot, same, "left")
+    found = found.withColumn("_blocks", F.filter(blocks, lambda b: F.size(b) > 0))
+    found = found.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_blocks", F.transform("_blocks", lambda b: F.element_at(b, -1)).alias("_ends"))
+    marked = df.withColumn("_place", place).join(found, same, "left")
     passed = F.size(F.filter("_ends", lambda c: c < F.col("_place")))
     inside = F.size(F.filter(F.coalesce(F.try_element_at("_blocks", passed + 1), F.array().cast("array<double>")), lambda c: c < F.col("_place")))
     cut = F.when(F.col("_ends").isNull(), 0).when(F.col("_place").isNull(), 1).otherwise(passed * step + inside + 1)
