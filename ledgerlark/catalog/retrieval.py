@@ -48,6 +48,25 @@ def _(t):
     return r(R.search(t.lessons, t.impact, _query_vector(t), 3))
 
 
+def _queries(t):
+    """Every lesson whose id is divisible by 20 asks for lessons like itself."""
+    return t.lessons.filter("reflection_id % 20 = 0").select(F.col("reflection_id").alias("query_id"), "competition_id", "embedding")
+
+
+@query("rt_candidates_table", """SELECT query_id, reflection_id, round(sim, 6) AS sim, coalesce(avg_gain, 0) AS avg_gain FROM (SELECT q.reflection_id AS query_id, l.reflection_id,
+ list_cosine_similarity(q.embedding::DOUBLE[], l.embedding::DOUBLE[]) AS sim,
+ row_number() OVER (PARTITION BY q.reflection_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], l.embedding::DOUBLE[]), 9) DESC, l.reflection_id) AS place
+ FROM lessons q JOIN lessons l ON NOT l.archived AND (l.competition_id = q.competition_id OR l.generality IN ('L2_class', 'L3_general')) WHERE q.reflection_id % 20 = 0)
+ LEFT JOIN impact USING (reflection_id) WHERE place <= 20""")
+def _(t):
+    return r(R.candidates_of(_queries(t), t.lessons, t.impact).select("query_id", "reflection_id", "sim", "avg_gain"))
+
+
+@query("rt_search_table")
+def _(t):
+    return r(R.search_table(_queries(t), t.lessons, t.impact))
+
+
 @query("rt_near_duplicates", DUPLICATES.replace("> 0.90", "> 0.30"))
 def _(t):
     return r(views.lesson_duplicates(t.lessons, threshold=0.30, newest=DUPLICATE_NEWEST))
@@ -61,6 +80,13 @@ def _(t):
     return r(views.lesson_duplicates_all(t.lessons, threshold=0.30, block=16))
 
 
+@query("rt_near_duplicates_exact", """SELECT a.competition_id, a.reflection_id AS reflection_id_a, b.reflection_id AS reflection_id_b,
+ round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos_sim FROM lessons a JOIN lessons b ON a.competition_id = b.competition_id
+ AND a.reflection_id < b.reflection_id WHERE NOT a.archived AND NOT b.archived AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.90""")
+def _(t):
+    return r(views.lesson_duplicates_all(t.lessons))
+
+
 @query("rt_normalise", """WITH c AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings)
  SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first_value, 32 AS n, round(1e0, 4) AS length FROM c""")
 def _(t):

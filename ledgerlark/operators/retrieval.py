@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.rules import round_half
-from . import listings, summaries
+from . import listings, prefix, summaries
 
 
 def cosine_to(query: Sequence[float]):
@@ -93,6 +93,77 @@ def search(lessons: DataFrame, impact: DataFrame, query: Sequence[float], compet
     return mmr(scored, k)
 
 
+# --- many queries at once ------------------------------------------------------------------------------------------------
+
+ROWS_OF_BLOCK = (8192, 2048)  # lessons and queries that meet in one product
+STRIP = 256  # queries whose similarities are held at a time
+DIGITS = 9  # similarities that agree to so many digits are ties
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy()).astype("float64")
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _best_of_block(lessons: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest allowed lessons of the block for every query of the block."""
+    lessons = lessons.sort_values("reflection_id", kind="stable")
+    ids, homes, general = (lessons[c].to_numpy() for c in ("reflection_id", "_home", "_general"))
+    out = []
+    if len(lessons) and len(queries):
+        theirs = _unit(lessons["embedding"]).T
+        for i in range(0, len(queries), STRIP):
+            strip = queries.iloc[i:i + STRIP]
+            sim = np.round(_unit(strip["_vector"]) @ theirs, DIGITS)
+            sim[~(general[None, :] | (strip["_own"].to_numpy()[:, None] == homes[None, :]))] = -np.inf
+            for query, row in zip(strip["query_id"], sim):
+                if len(row) > k:  # everything at or above the k-th value, so that ties go by the id
+                    at = np.flatnonzero(row >= np.partition(row, -k)[-k])
+                else:
+                    at = np.arange(len(row))
+                at = at[np.argsort(-row[at], kind="stable")][:k]
+                at = at[row[at] > -np.inf]
+                out.append(pd.DataFrame({"query_id": query, "reflection_id": ids[at], "sim": row[at]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "reflection_id", "sim"])
+
+
+def candidates_of(queries: DataFrame, lessons: DataFrame, impact: DataFrame, k: int = 5) -> DataFrame:
+    """For every row of ``queries`` (query_id, competition_id, embedding) its 4k nearest live own or general lessons.
+
+    Exact: lessons and queries are dealt to blocks, every pair of blocks is one matrix product in a task of its own, and a task
+    hands on at most 4k rows per query; Spark merges them by rank. No vector goes through the driver, and no group holds more
+    than two blocks. Rows whose vector is null, without length or of another size than the queries' are left out.
+    """
+    size = F.size("embedding")
+
+    def usable(df: DataFrame) -> DataFrame:
+        return df.filter("embedding IS NOT NULL").filter(F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
+
+    live = usable(lessons.filter("NOT archived")).select("reflection_id", F.coalesce(F.col("competition_id").cast("string"), F.lit("")).alias("_home"),
+                                                         F.coalesce(F.col("generality").isin(*K.GENERALITY[1:]), F.lit(False)).alias("_general"), "embedding", size.alias("_size"))
+    asked = usable(queries).select("query_id", F.coalesce(F.col("competition_id").cast("string"), F.lit("\0")).alias("_own"), F.col("embedding").alias("_vector"), size.alias("_size"))
+    counts = live.agg(F.count("*")).first()[0], asked.agg(F.count("*")).first()[0]
+    n_live, n_asked = (1 + n // rows for n, rows in zip(counts, ROWS_OF_BLOCK))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        blocks = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)))
+        return blocks.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+
+    pair = ["_left", "_right", "_size"]
+    left = dealt(live, "reflection_id", "_left", n_live, "_right", n_asked).groupBy(*pair)
+    right = dealt(asked, "query_id", "_right", n_asked, "_left", n_live).groupBy(*pair)
+    near = left.cogroup(right).applyInPandas(lambda a, b: _best_of_block(a, b, 4 * k), f"query_id {dict(queries.dtypes)['query_id']}, reflection_id {dict(lessons.dtypes)['reflection_id']}, sim double")
+    top = prefix.newest_per_key(near, ["query_id"], [F.col("sim").desc(), F.col("reflection_id")], 4 * k).drop("rn")
+    return top.join(impact.select("reflection_id", "avg_gain"), "reflection_id", "left").fillna({"avg_gain": 0.0})
+
+
+def search_table(queries: DataFrame, lessons: DataFrame, impact: DataFrame, k: int = 5) -> DataFrame:
+    """The k most useful and mutually different lessons for every query: ``search`` for a table of queries."""
+    cols = ["reflection_id", "competition_id", "generality", "gain_vs_best", "lesson_type", "embedding"]
+    near = candidates_of(queries, lessons, impact, k).join(lessons.select(*cols), "reflection_id")
+    return mmr(impact_score(near, summaries.gain_stats(impact)), k, ["query_id"])
+
+
 _METRIC_CLASS = {name: cls for name, (_, cls) in K.METRICS.items() if name != "roc_auc"}
 
 

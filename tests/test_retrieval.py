@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlark.catalog import roles
 from ledgerlark.operators import retrieval as R, views
 
 
@@ -76,3 +77,39 @@ def test_impact_without_spread_keeps_similarity(spark):
     cand = spark.createDataFrame([("a", 0.5, 0.0, "avoid"), ("b", 0.4, 3.0, "no_op")], "reflection_id string, sim double, avg_gain double, lesson_type string")
     stats = spark.createDataFrame([(0.0, 0.0)], "gain_mean double, gain_std double")
     assert {r.reflection_id: r.score for r in R.impact_score(cand, stats).collect()} == {"a": 0.5, "b": 0.2}
+
+
+@pytest.mark.parametrize("blocks", [(8192, 2048), (7, 3)])
+def test_candidates_of_many_queries_equal_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(R, "ROWS_OF_BLOCK", blocks)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(3)), ["L1_local", "L2_class", "L3_general", None][i % 4], bool(i % 9 == 5), [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(90)]
+    rows += [(100 + i, 1, "L1_local", False, rows[3][4]) for i in range(30)]  # ties
+    rows += [(200, 1, "L2_class", False, None), (201, 1, "L2_class", False, [0.0] * 6), (202, 1, "L2_class", False, [1.0, 2.0]), (203, None, "L1_local", False, [1.0] * 6), (204, 1, "L2_class", False, [None] * 6)]
+    lessons = spark.createDataFrame(rows, "reflection_id long, competition_id int, generality string, archived boolean, embedding array<float>")
+    impact = spark.createDataFrame([(3, 0.5)], "reflection_id long, avg_gain double")
+    queries = lessons.filter("reflection_id % 4 = 0 OR reflection_id > 200").selectExpr("reflection_id AS query_id", "competition_id", "embedding")
+    got = {}
+    for r in R.candidates_of(queries, lessons, impact, 2).collect():
+        got.setdefault(r.query_id, []).append((-r.sim, r.reflection_id))
+    fits = lambda v: v is not None and None not in v and any(v)
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    want = {}
+    for q, home, _, _, v in rows:
+        if (q % 4 == 0 or q > 200) and fits(v):
+            mine = [(-cos(v, w), i) for i, c, g, gone, w in rows if not gone and fits(w) and len(w) == len(v) and ((home is not None and c == home) or g in ("L2_class", "L3_general"))]
+            if mine:
+                want[q] = sorted(mine)[:8]
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    assert R.candidates_of(queries.limit(0), lessons, impact).count() == 0
+
+
+def test_search_of_a_table_equals_single_searches(spark):
+    t = roles.Roles(spark, "/root/testdata/sf0.001")
+    queries = t.lessons.filter("reflection_id IN (0, 140, 260)").selectExpr("reflection_id AS query_id", "competition_id", "embedding")
+    many = {}
+    for r in R.search_table(queries, t.lessons, t.impact).collect():
+        many.setdefault(r.query_id, {})[r.place] = r.reflection_id
+    for q in queries.collect():
+        one = {r.place: r.reflection_id for r in R.search(t.lessons, t.impact, [float(x) for x in q.embedding], q.competition_id).collect()}
+        assert many[q.query_id] == one
