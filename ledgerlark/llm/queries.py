@@ -46,10 +46,7 @@ t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, max((total -
 e AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
   CASE WHEN t.source_size > 0 THEN CAST(round(t.target / t.source_size * 1048576) AS BIGINT) ELSE 1048576 END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, sum(expected) OVER (PARTITION BY source ORDER BY size DESC, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM e),
-o AS (SELECT source, target, j, CAST('0x' || substr(md5('42:' || j || ':' || coalesce(source, 'null')), 1, 5) AS BIGINT) AS start FROM t, range(16) AS r(j)),
-m AS (SELECT o.source, o.j, o.start, abs(sum(((upto + start) // 1048576 - (upto + start - expected) // 1048576) * size) - any_value(o.target)) AS miss
-  FROM p JOIN o ON p.source IS NOT DISTINCT FROM o.source GROUP BY o.source, o.j, o.start),
-b AS (SELECT source, arg_min(start, (miss, j)) AS start FROM m GROUP BY source)
+b AS (SELECT source, CAST('0x' || substr(md5('42:' || coalesce(source, 'null')), 1, 5) AS BIGINT) AS start FROM t)
 SELECT doc_id, size, source_size, target, CAST(((upto + start) // 1048576 - (upto + start - expected) // 1048576) * size AS BIGINT) AS taken
 FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """)

@@ -263,3 +263,23 @@ def test_secret_edge_rows(spark):
     assert sorted((r["doc_id"], r["start"], len(r["candidate"])) for r in found.collect()) == [(2, 0, 100_001), (2, 3, 24), (2, 32, 12)]
     assert secrets.fit(secrets.verified(found.limit(0))) is None
     assert secrets.score(found, None).filter("secret").count() == 3
+
+
+def test_a_source_named_null_is_not_a_null_source(spark):
+    """Rows of both lie in one running sum each; the targets are met as with any other name."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 40))), (None, "null", "a")[i % 3]) for i in range(600)]
+    frame = lambda named: spark.createDataFrame([(i, t, named if s == "null" else s) for i, t, s in rows], "doc_id long, text string, source string")
+    for named in ("null", "b"):
+        taken, target = {}, {}
+        for r in mixing.mix(frame(named)).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            target[r.source] = r.target
+        assert set(taken) == {None, named, "a"} and all(abs(taken[s] - target[s]) <= 40 for s in taken)
+    out = mixing.emit(frame("null"))
+    assert out.filter("source IS NULL AND doc_id % 3 <> 0").count() == out.filter("source = 'null' AND doc_id % 3 <> 1").count() == 0
+    words = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n")).collect()}
+    drawn = {}
+    for r in mixing.mix(frame("null")).collect():
+        drawn[r.source] = drawn.get(r.source, 0) + r.taken
+    assert words == drawn
