@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DUPLICATE_NEWEST
 from ..functions import arrays
-from ..operators import listings as L, retrieval as R, summaries as S, views
+from ..operators import listings as L, neighbours, retrieval as R, summaries as S, views
 from . import query
 from .shared import r
 from .views import DUPLICATES
@@ -87,6 +87,24 @@ def _(t):
     return r(views.lesson_duplicates_all(t.lessons))
 
 
+LINKS = """SELECT a.competition_id, a.reflection_id, count(b.reflection_id) AS links FROM lessons a LEFT JOIN lessons b ON a.competition_id = b.competition_id
+ AND a.reflection_id <> b.reflection_id AND NOT b.archived AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.90 WHERE NOT a.archived GROUP BY ALL"""
+
+
+@query("rt_near_duplicates_index", LINKS)
+def _(t):
+    """Links of every lesson through the index; the SQL compares all pairs."""
+    return neighbours.duplicate_links(t.lessons, bucket=8).select("competition_id", "reflection_id", "links")
+
+
+@query("rt_index_recall", f"SELECT competition_id, count(*) AS queries, CAST(sum(links) AS BIGINT) AS links, true AS recalled FROM ({LINKS}) WHERE reflection_id % 20 = 0 GROUP BY ALL")
+def _(t):
+    """Recall of the index for lessons whose id is divisible by 20, against all of their competition: nine of ten links or more."""
+    asked = t.lessons.filter("reflection_id % 20 = 0")
+    rows = neighbours.index_recall(asked, t.lessons, bucket=8)
+    return rows.select("competition_id", "queries", "links", (F.col("found") * 10 >= F.col("links") * 9).alias("recalled"))
+
+
 @query("rt_normalise", """WITH c AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings)
  SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 4) AS first_value, 32 AS n, round(1e0, 4) AS length FROM c""")
 def _(t):
