@@ -13,6 +13,8 @@ from .common import SPACE, WORD, whole
 
 CORE = r"[A-Za-z0-9_+/=.\-]"
 LEAST = 12  # characters of a candidate
+CONTEXT = 256  # characters on either side that count as neighbours of a candidate
+CHUNK = 256  # words of a text, or pieces of a word, that are looked at together
 MAX_LABELLED = 20_000  # labelled findings that a forest is fitted on, at most; drawn by a digest
 TREES, DEPTH = 20, 6
 
@@ -35,7 +37,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, start, candidate, before, after): strings of at least 12 letters, digits and ``_+/=.-`` with a digit.
 
     start is the code point where the candidate begins. before holds the three words ahead and what precedes the candidate in
-    its own word, after what follows it. A ``name=value`` without quotes is split, so that the name stands before its value, if the
+    its own word, the last CONTEXT characters of it; after what follows up to the next run of candidate characters, CONTEXT at most. A ``name=value`` without quotes is split, so that the name stands before its value, if the
     value is long enough; a shorter one stays whole. Null texts have none. Rows are independent, so repeated rows repeat their candidates.
     """
     text = whole()
@@ -43,29 +45,52 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     rows = rows.filter(F.col("text").rlike(rf"{CORE}*[0-9]{CORE}*") & F.col("text").rlike(rf"{CORE}{{{LEAST},}}"))
     lead = F.char_length("text") - F.char_length(F.regexp_replace("text", f"^[{SPACE}]+", ""))
     rows = rows.select("doc_id", "path", lead.alias("lead"), F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE}]*"), F.lit(0)).alias("words"))
+    # Words are taken CHUNK at a time with the three before them, and so are the pieces of one long word: what a candidate costs
+    # is bounded by the chunk, not by the text.
+    rows = chunks(rows, "words", 3).withColumn("lead", F.col("lead") + F.col("base")).drop("base")
     long = lambda w: (F.char_length(w) >= LEAST) & w.rlike(rf"(?=[^\s]*[0-9]){CORE}{{{LEAST},}}")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: long(F.try_element_at("words", i)))
+    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i > F.col("ahead_n")) & long(F.try_element_at("words", i)))
     rows = rows.withColumn("i", F.explode(at))
-    word = F.element_at("words", F.col("i"))
     ahead = F.slice("words", F.greatest(F.col("i") - 3, F.lit(1)), F.least(F.col("i") - 1, F.lit(3)))
-    start = F.aggregate(F.slice("words", F.lit(1), F.col("i") - 1), F.lit(0).cast("bigint"), lambda n, w: n + F.char_length(w))
-    rows = rows.select("doc_id", "path", word.alias("word"), F.array_join(ahead, "").alias("ahead"), (F.col("lead") + start).alias("at"))
+    skipped = F.slice("words", F.col("ahead_n") + 1, F.col("i") - 1 - F.col("ahead_n"))
+    start = F.aggregate(skipped, F.col("lead"), lambda n, w: n + F.char_length(w))
+    rows = rows.select("doc_id", "path", F.element_at("words", F.col("i")).alias("word"), F.right(F.array_join(ahead, ""), F.lit(CONTEXT)).alias("ahead"), start.alias("at"))
     # runs of candidate characters and what lies between them, in order with a running offset: every occurrence has its own place
-    pieces = F.regexp_extract_all("word", F.lit(rf"{CORE}+|[^{CORE[1:-1]}]+"), F.lit(0))
-    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<inside:int,candidate:string>>").alias("found"))
+    rows = rows.select("doc_id", "path", "ahead", "at", F.regexp_extract_all("word", F.lit(rf"{CORE}+|[^{CORE[1:-1]}]+"), F.lit(0)).alias("pieces"))
+    rows = chunks(rows, "pieces", CONTEXT, 1)
     fits = lambda p: (F.char_length(p) >= LEAST) & p.rlike("[0-9]") & p.rlike(f"^{CORE}")
-    walk = F.aggregate(pieces, none, lambda a, p: F.struct(
-        (a["upto"] + F.char_length(p)).alias("upto"),
-        F.when(fits(p), F.concat(a["found"], F.array(F.struct(a["upto"].alias("inside"), p.alias("candidate"))))).otherwise(a["found"]).alias("found")), lambda a: a["found"])
-    rows = rows.withColumn("c", F.explode(walk)).select("*", "c.candidate")
-    inside = F.col("c.inside")
+    here = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: (i > F.col("ahead_n")) & (i <= F.size("pieces") - F.col("behind_n")) & fits(F.try_element_at("pieces", i)))
+    rows = rows.withColumn("i", F.explode(here))
+    before = F.slice("pieces", F.greatest(F.col("i") - CONTEXT, F.lit(1)), F.least(F.col("i") - 1, F.lit(CONTEXT)))
+    inside = F.aggregate(F.slice("pieces", F.col("ahead_n") + 1, F.col("i") - 1 - F.col("ahead_n")), F.col("base"), lambda n, p: n + F.char_length(p))
+    after = F.when(F.col("i") < F.size("pieces"), F.left(F.try_element_at("pieces", F.col("i") + 1), F.lit(CONTEXT))).otherwise(F.lit(""))
     rows = rows.select(
-        "doc_id", "path", (F.col("at") + inside).cast("bigint").alias("start"), "candidate",
-        F.concat("ahead", F.substring("word", F.lit(1), inside)).alias("before"),
-        F.substring("word", inside + F.char_length("candidate") + 1, F.lit(40)).alias("after"))
+        "doc_id", "path", (F.col("at") + inside).cast("bigint").alias("start"), F.element_at("pieces", F.col("i")).alias("candidate"),
+        F.right(F.concat("ahead", F.array_join(before, "")), F.lit(CONTEXT)).alias("before"), after.alias("after"))
     return split_names(rows)
 
 
+def chunks(rows: DataFrame, items: str, ahead: int, behind: int = 0) -> DataFrame:
+    """One row per CHUNK strings of the array ``items``, with up to ``ahead`` strings before them and ``behind`` after them.
+
+    Adds base (characters before the chunk), ahead_n and behind_n (strings that belong to the neighbours). An empty array has no row.
+    """
+    n = F.ceil(F.size(items) / CHUNK).cast("int")
+    numbers = F.sequence(F.lit(0), n - 1)
+    sizes = F.transform(numbers, lambda c: F.aggregate(F.slice(items, c * CHUNK + 1, F.lit(CHUNK)), F.lit(0).cast("bigint"), lambda k, w: k + F.char_length(w)))
+
+    def part(c: Column, sizes: Column) -> Column:
+        lead, after = F.least(c * CHUNK, F.lit(ahead)), F.size(items) - c * CHUNK
+        tail = F.least(F.lit(behind), F.greatest(after - CHUNK, F.lit(0)))
+        base = F.aggregate(F.slice(sizes, F.lit(1), c), F.lit(0).cast("bigint"), lambda k, v: k + v)
+        return F.struct(base.alias("base"), lead.alias("ahead_n"), tail.alias("behind_n"), F.slice(items, c * CHUNK + 1 - lead, lead + F.least(F.lit(CHUNK), after) + tail).alias(items))
+
+    # the sizes are bound to a name, so that they are added up once; rows carry their chunk and not the whole array
+    parts = F.transform(F.array(sizes), lambda s: F.transform(numbers, lambda c: part(c, s)))[0]
+    others = [c for c in rows.columns if c != items]
+    return rows.filter(F.size(items) > 0).select(*others, F.explode(parts).alias("_part")).select(*others, "_part.*")
+
+
 def split_names(rows: DataFrame) -> DataFrame:
     """Takes ``name=value`` apart at the last ``=`` that is no padding; a name that could be a secret itself stays a candidate too."""
     head = F.regexp_extract("candidate", r"^(.*=)[^=]", 1)
@@ -74,7 +99,7 @@ def split_names(rows: DataFrame) -> DataFrame:
     part = lambda skip, c, before, after: F.struct((F.col("start") + skip).alias("start"), c.alias("candidate"), before.alias("before"), after.alias("after"))
     whole_one = part(F.lit(0), F.col("candidate"), F.col("before"), F.col("after"))
     value_one = part(F.char_length(head), value, F.concat("before", head), F.col("after"))
-    name_one = part(F.lit(0), name, F.col("before"), F.substring(F.concat(F.substring("candidate", F.char_length(name) + 1, F.lit(40)), "after"), 1, 40))
+    name_one = part(F.lit(0), name, F.col("before"), F.left(F.concat(F.substring("candidate", F.char_length(name) + 1, F.lit(CONTEXT)), "after"), F.lit(CONTEXT)))
     parts = F.when(~((head != "") & fits(value)), F.array(whole_one)).when(fits(name), F.array(name_one, value_one)).otherwise(F.array(value_one))
     rows = rows.select("doc_id", "path", F.explode(parts).alias("p"))
     return rows.select("doc_id", "path", F.col("p.start").alias("start"), "p.candidate", "p.before", F.rtrim("p.after").alias("after"))

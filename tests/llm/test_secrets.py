@@ -44,3 +44,44 @@ def test_every_occurrence_has_its_own_start(spark):
     df = spark.createDataFrame([(1, text, "")], "doc_id bigint, text string, source string")
     got = sorted((r["start"], r["candidate"], r["before"][-1], r["after"][0]) for r in secrets.candidates(df).collect())
     assert got == [(6, "x0123456789ab", '"', '"'), (26, "0123456789ab", '"', '"'), (45, "0123456789ab", '"', '"')]
+
+
+def _places(text):
+    """(start, candidate) by hand: runs of candidate characters with a digit, without those that hold an equals sign."""
+    import re
+
+    return [(m.start(), m.group()) for m in re.finditer(r"[A-Za-z0-9_+/.\-]+", text) if len(m.group()) >= secrets.LEAST and re.search("[0-9]", m.group())]
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choice("abcXYZ019_/+.-") for _ in range(n))
+    texts = ["", "   ", "\t " + made(30), None, "short 1 words only"]
+    for _ in range(60):
+        n = rng.choice([1, 5, 255, 256, 257, 600, 900])
+        texts.append(rng.choice(["", " ", "\n\t"]) + "".join(made(rng.choice([3, 11, 12, 40])) + rng.choice([" ", "  ", ",", '","', "\n"]) for _ in range(n)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'' AS source")
+    got = {}
+    for r in secrets.candidates(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["candidate"]))
+    assert {k: sorted(v) for k, v in got.items()} == {i: _places(t) for i, t in enumerate(texts) if t and _places(t)}
+
+
+def test_one_text_of_very_many_candidates(spark):
+    import time
+
+    seconds = []
+    for n in (30_000, 120_000):
+        text = " ".join(f"id-{i:012d}" for i in range(n // 2)) + " " + ",".join(f"no-{i:012d}" for i in range(n // 2))
+        df = spark.createDataFrame([(1, text, "")], "doc_id bigint, text string, source string")
+        began = time.time()
+        found = secrets.candidates(df).selectExpr("count(*) AS n", "max(start) AS last").first()
+        seconds.append(time.time() - began)
+        assert found["n"] == n and found["last"] == len(text) - 15
+    assert seconds[1] < 10 * seconds[0]  # four times the text
+
+
+def test_empty_table_of_texts(spark):
+    df = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    found = secrets.candidates(df)
+    assert found.count() == 0 and secrets.fit(secrets.verified(found)) is None
