@@ -64,7 +64,9 @@ def fold_moments(rows: DataFrame, names: Sequence[str], target: str) -> Moments:
             yield pd.DataFrame({"fold": fold, "at": np.arange(size * size), "v": g.ravel()})
         yield pd.DataFrame({"fold": [-2], "at": [0], "v": [float(nulls)]})  # folds start at -1
 
-    got = numbers.mapInPandas(add, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).toPandas()
+    # one value per task and position, added in order of size, so that a repeated run gives the same sum to the last digit
+    ordered = F.aggregate(F.array_sort(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
+    got = numbers.mapInPandas(add, "fold int, at int, v double").groupBy("fold", "at").agg(ordered.alias("v")).toPandas()
     products, nulls = {}, 0
     for fold, part in got.groupby("fold"):
         if fold == -2:
