@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, rules
+from .. import constants as K
+from ..functions import arrays, draws, rules
 from ..operators import listings as L, summaries as S, views
 from ..plans import fleet, promotion as P
 from . import query
@@ -27,12 +28,35 @@ def _(t):
     return t.bandit.select("scope_key", "action_type", rules.is_dead_action(F.col("alpha"), F.col("beta")).alias("dead"))
 
 
-@query("dc_assign_actions")
+# Posterior draws as rows: every try of both gamma variables, of which the first accepted one counts.
+_DRAWS = f"""beliefs AS (SELECT scope_key, action_type, coalesce(alpha, 1) AS alpha, coalesce(beta, 1) AS beta
+  FROM (SELECT DISTINCT competition_id AS scope_key, unnest({list(K.ACTION_TYPES)}) AS action_type FROM competitions)
+  LEFT JOIN (SELECT scope_key, action_type, alpha, beta FROM bandit WHERE scope = 'local') USING (scope_key, action_type)),
+ tries AS (SELECT scope_key, action_type, no, side, try, CASE side WHEN 'a' THEN alpha ELSE beta END - 1 / 3e0 AS d,
+   sha256(concat_ws(':', '42', scope_key, action_type, no, side, try)) AS h
+  FROM beliefs, range(4) n(no), (VALUES ('a'), ('b')) s(side), range({draws.TRIES}) r(try)),
+ unit AS (SELECT *, (CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5e0) / pow(2e0, 52) AS u0, (CAST('0x' || substr(h, 14, 13) AS BIGINT) + 0.5e0) / pow(2e0, 52) AS u1,
+   (CAST('0x' || substr(h, 27, 13) AS BIGINT) + 0.5e0) / pow(2e0, 52) AS u2 FROM tries),
+ norm AS (SELECT *, sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) AS x FROM unit),
+ cube AS (SELECT *, pow(1 + x / sqrt(9 * d), 3) AS v FROM norm),
+ gam AS (SELECT scope_key, action_type, no, side, arg_min(d * v, try) AS g FROM cube
+  WHERE v > 0 AND ln(u2) < x * x / 2 + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1 END) GROUP BY ALL),
+ drawn AS (SELECT scope_key, action_type, no, max(g) FILTER (side = 'a') / sum(g) AS p FROM gam GROUP BY ALL)"""
+
+
+@query("dc_assign_actions", f"""WITH {_DRAWS},
+ known AS (SELECT b.*, (alpha + beta - 2 >= {K.DEAD_MIN_OBSERVED} AND alpha / (alpha + beta) < {K.DEAD_MEAN}) AND coalesce(total, 0) % {K.REEXPLORE_EVERY} >= 3 AS dead
+  FROM beliefs b LEFT JOIN (SELECT competition_id AS scope_key, count(*) AS total FROM attempts GROUP BY 1) USING (scope_key)),
+ listed AS (SELECT scope_key, action_type, no, p, dead, count(*) FILTER (NOT dead) OVER (PARTITION BY scope_key, no) AS alive, count(*) OVER (PARTITION BY scope_key, no) AS everyone,
+   row_number() OVER (PARTITION BY scope_key, no ORDER BY p DESC, action_type) - 1 AS place,
+   row_number() OVER (PARTITION BY scope_key, no, dead ORDER BY p DESC, action_type) - 1 AS place_alive FROM known JOIN drawn USING (scope_key, action_type))
+ SELECT scope_key, CAST(slot AS INT) AS slot, action_type FROM listed, range(3) s(slot)
+ WHERE CASE WHEN alive = 0 THEN no = 0 AND place = slot % everyone WHEN slot < alive THEN no = 0 AND NOT dead AND place_alive = slot ELSE no = slot + 1 AND NOT dead AND place_alive = 0 END""")
 def _(t):
     return fleet.assign_actions(t.bandit, t.attempts, t.competitions, 3, seed=42)
 
 
-@query("dc_action_prior")
+@query("dc_action_prior", f"WITH {_DRAWS} SELECT scope_key, action_type, round(p, 4) AS prior FROM drawn WHERE no = 0")
 def _(t):
     return fleet.action_prior(t.bandit, t.competitions, seed=42)
 

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions import rules
+from ..functions import draws, rules
 from ..operators import listings, summaries, views
 
 
 # --- actions ---------------------------------------------------------------------------------------------------------
 
 
-def _draws(seed: int, n: int):
-    """A column function: n repeatable Beta draws from (key, action, alpha, beta)."""
-    @F.pandas_udf("array<double>")
-    def draw(stream: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        return pd.Series([
-            np.random.default_rng([seed, int(s) & 0xFFFFFFFF, (int(s) >> 32) & 0xFFFFFFFF]).beta(a, b, size=n)
-            for s, a, b in zip(stream, alpha, beta)
-        ])
-
-    return draw
+def _draw(seed: int, number: int) -> Column:
+    """The numbered posterior draw of a competition's action, repeatable on any engine."""
+    return draws.beta_draw(F.col("alpha"), F.col("beta"), F.lit(seed), F.col("scope_key"), F.col("action_type"), F.lit(number))
 
 
 def _beliefs(bandit: DataFrame, competitions: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -36,8 +27,7 @@ def _beliefs(bandit: DataFrame, competitions: DataFrame, excluded: tuple[str, ..
 
 def action_prior(bandit: DataFrame, competitions: DataFrame, seed: int) -> DataFrame:
     """One posterior draw per action, four places."""
-    stream = F.xxhash64("scope_key", "action_type")
-    return _beliefs(bandit, competitions).select("scope_key", "action_type", F.round(_draws(seed, 1)(stream, F.col("alpha"), F.col("beta"))[0], 4).alias("prior"))
+    return _beliefs(bandit, competitions).select("scope_key", "action_type", F.round(_draw(seed, 0), 4).alias("prior"))
 
 
 def assign_actions(bandit: DataFrame, attempts: DataFrame, competitions: DataFrame, n: int, seed: int, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -48,7 +38,7 @@ def assign_actions(bandit: DataFrame, attempts: DataFrame, competitions: DataFra
     total = attempts.groupBy(F.col("competition_id").alias("scope_key")).agg(F.count(F.lit(1)).alias("_total"))
     rows = _beliefs(bandit, competitions, excluded).join(total, "scope_key", "left").fillna({"_total": 0})
     dead = rules.is_dead_action(F.col("alpha"), F.col("beta")) & (F.col("_total") % K.REEXPLORE_EVERY >= n)
-    rows = rows.withColumns({"_draw": _draws(seed, n + 1)(F.xxhash64("scope_key", "action_type"), F.col("alpha"), F.col("beta")), "_dead": dead})
+    rows = rows.withColumns({"_draw": F.array(*[_draw(seed, i) for i in range(n + 1)]), "_dead": dead})
     entry = F.struct((-F.get("_draw", F.lit(0))).alias("d"), F.col("action_type").alias("a"), F.col("_dead").alias("x"), F.col("_draw").alias("draw"))
     per = rows.groupBy("scope_key").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
     per = per.withColumn("_alive", F.filter("_all", lambda e: ~e["x"]))
