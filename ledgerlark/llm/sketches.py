@@ -4,7 +4,7 @@ A paragraph is a line; lines over 32 words are cut every 32 words. The digests o
 to one cell of each of three rows; a cell is one number that sums counts, digests and their check values. Sketches of two texts
 subtract cell by cell; peeling cells that hold a single digest recovers the digests in which the texts differ. Where peeling gets
 stuck, the digests are split by a hash into as many parts as needed, each with a sketch of its own, and again where a part
-gets stuck.
+gets stuck; after the last retry the digests of such a part are compared directly.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ LOAD = 8  # digests that a part is planned for
 WORDS = 32
 DIGEST_BITS, CHECK_BITS = 30, 14
 ONE = 1 << (DIGEST_BITS + CHECK_BITS)
+SPAN = 1 << 62  # cells count modulo this, so that no text is too long for them
 PARAGRAPH = rf"(?:{WORD}[\x20\x09\x0B\x0C]*){{1,{WORDS}}}"
 RANGES = 4  # ranges of ids for the square root of each megabyte of text: both ranges and their size grow with its root
 
@@ -67,15 +68,17 @@ def _digest(code: Column) -> Column:
 
 
 def sketch(digests: Column, seed: int = 0) -> Column:
-    """Array of the sums of the codes in each cell. Counts up to half a million fit into a cell."""
+    """Array of the sums of the codes in each cell, modulo SPAN."""
     return _let(
         F.transform(digests, lambda d: F.struct(_code(d).alias("c"), _cells_of(d, seed).alias("m"))),
-        lambda placed: F.transform(_bits(), lambda bit: F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, p: F.when(p["m"].bitwiseAND(bit) == 0, a).otherwise(a + p["c"]))),
+        lambda placed: F.transform(_bits(), lambda bit: F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, p: F.when(p["m"].bitwiseAND(bit) == 0, a).otherwise((a + p["c"]).bitwiseAND(F.lit(SPAN - 1))))),
     )
 
 
 def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: a - b)
+    """Differences of the cells, between -SPAN / 2 and SPAN / 2: right where a cell differs by fewer than 131 072 digests. Others do not
+    peel, as little as any cell that holds so many."""
+    return F.zip_with(left, right, lambda a, b: (a - b + F.lit(SPAN // 2)).bitwiseAND(F.lit(SPAN - 1)) - F.lit(SPAN // 2))
 
 
 def peel(cells: Column, seed: int = 0) -> Column:
@@ -126,16 +129,21 @@ def _in_parts(left: Column, right: Column, first: Column, second: Column, seed:
     return _let(solved, lambda parts: F.when(F.forall(parts, lambda p: p.isNotNull()), F.flatten(parts)))
 
 
+def _compared(left: Column, right: Column) -> Column:
+    """Signed codes of the digests that only one of two sets has, from the sets themselves."""
+    return F.concat(F.transform(F.array_except(left, right), _code), F.transform(F.array_except(right, left), lambda d: -_code(d)))
+
+
 def difference(left: Column, right: Column, sketches: tuple[Column, Column] | None = None) -> Column:
     """Digests that only one of two sets has, recovered from sketches as (n, k), n being 1 for the left set and -1 for the right one;
-    with retries in more parts.
+    with retries in more parts. A part whose last retry sticks is compared digest by digest, so there is always a result.
 
     ``sketches`` are those of the whole sets, if they are at hand.
     """
     def solve(a: Column, b: Column) -> Column:
         tries = [_attempt(a, b, 1)]
         tries += [_in_parts(a, b, F.lit(side), F.lit(side), seed, _attempt_with(seed)) for seed, side in ((2, 2), (3, 3), (4, 6), (5, 16))]
-        return F.coalesce(*tries)
+        return F.coalesce(*tries, _compared(a, b))
 
     whole_sets = peel(subtract(*sketches)) if sketches else _attempt(left, right, 0)
     parts = F.greatest(F.ceil((F.size(left) + F.size(right)) / LOAD).cast("int"), F.lit(2))

@@ -32,6 +32,25 @@ def test_stuck_sketch_is_null(spark):
     assert df.select(sketches._attempt(F.col("a"), F.col("b"), 0)).first()[0] is None
 
 
+def test_sketches_that_all_stick_still_give_the_exact_likeness(spark, monkeypatch):
+    pairs = list(sets(4, [(0, 0, 0), (0, 0, 9), (1, 0, 3), (12, 7, 5), (300, 5, 50)]))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<bigint>, b array<bigint>")
+    monkeypatch.setattr(sketches, "peel", lambda cells, seed=0: F.when(F.size(cells) < 0, F.array().cast("array<bigint>")))
+    for r in df.select("i", sketches.difference(F.col("a"), F.col("b")).alias("d"), sketches.likeness(F.col("a"), F.col("b")).alias("l")).collect():
+        a, b = map(set, pairs[r["i"]])
+        assert sorted((x["n"], x["k"]) for x in r["d"]) == sorted([(1, k) for k in a - b] + [(-1, k) for k in b - a])
+        assert abs(r["l"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+
+
+def test_cells_of_very_long_texts_wrap_and_still_subtract(spark):
+    top = (1 << sketches.DIGEST_BITS) - 1
+    many = F.array_repeat(F.lit(top).cast("bigint"), 600_000)  # more than a cell could count without wrapping
+    df = spark.range(1).select(sketches.sketch(F.concat(many, F.array(F.lit(5).cast("bigint")))).alias("a"), sketches.sketch(many).alias("b"))
+    got = df.select("a", sketches.peel(sketches.subtract(F.col("a"), F.col("b"))).alias("d"), sketches.peel(sketches.subtract(F.col("b"), F.col("a"))).alias("e")).first()
+    assert all(0 <= c < sketches.SPAN for c in got["a"])
+    assert len(got["d"]) == 1 and got["e"] == [-got["d"][0]] and abs(got["d"][0]) % sketches.ONE >> sketches.CHECK_BITS == 5
+
+
 def units(text):
     out = []
     for line in re.split(r"[\n\r]+", text):
