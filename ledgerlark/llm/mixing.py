@@ -44,17 +44,24 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string")))
 
 
-def source_offset(seed: int) -> Column:
-    """The random offset of a source, in units: the first 20 bits of a digest of seed and source."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), id_key(F.col("source")))), 1, 5), 16, 10).cast("bigint")
+def source_offset(seed: int, draw: int) -> Column:
+    """A random offset of a source, in units: the first 20 bits of a digest of seed, draw and source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{draw}:"), id_key(F.col("source")))), 1, 5), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42) -> DataFrame:
+def source_offsets(laid: DataFrame, seed: int, draws: int) -> DataFrame:
+    """(_source_key, offset): of a few random offsets of every source the one whose words come nearest to the target; the first of equals."""
+    taken = laid.groupBy("_source_key", "source").agg(F.first("target").alias("target"), *[F.sum(copies_of(F.col("upto"), F.col("expected"), source_offset(seed, i)) * F.col("size")).alias(f"t{i}") for i in range(draws)])
+    misses = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("miss"), F.lit(i).alias("draw"), source_offset(seed, i).alias("offset")) for i in range(draws)]))
+    return taken.select("_source_key", misses[0]["offset"].alias("offset"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42, draws: int = 16) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, text_key.
 
     size counts words; every document of a source expects target / source_size copies. Documents of a source are laid out by
     falling size, so the words taken miss the target by less than the largest document; one seeded offset per source decides
-    where the copies fall. Null texts are empty, null sources are a source of their own, and a source without words expects
+    where the copies fall, the best of ``draws``. Null texts are empty, null sources are a source of their own, and a source without words expects
     one copy of each document. Rows that repeat id and size are interchangeable. Empty in, empty out.
     """
     sized = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -64,8 +71,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("expected", F.round(rate * UNIT).cast("bigint"))
     rows = rows.withColumn("_source_key", source_key(F.col("source")))
     laid = running_sum(rows, ["_source_key"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_key")], {"upto": "expected"})
-    placed = laid.withColumn("copies", copies_of(F.col("upto"), F.col("expected"), source_offset(seed)))
-    return placed.withColumn("taken", F.col("copies") * F.col("size")).drop("expected", "upto", "_source_key")
+    offsets = stored(source_offsets(laid, seed, draws))  # a row per source, whose size the join can see
+    placed = laid.join(offsets, "_source_key").withColumn("copies", copies_of(F.col("upto"), F.col("expected"), F.col("offset")))
+    return placed.withColumn("taken", F.col("copies") * F.col("size")).drop("expected", "upto", "offset", "_source_key")
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 42) -> DataFrame:
