@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import DUPLICATE_COSINE
+from ..session import work_dir
 from . import views
 
 BUCKET = 64  # classes of a bucket, about
 MISS = 1e-3  # probability that a pair at the threshold shares no bucket
-BLOCK = 512  # rows of a bucket that are compared in one task
+BLOCK = 1024  # rows of a bucket that are compared in one task
 PLANES = 40  # hyperplanes of a table, at most: 2^40 buckets
+MOST_TABLES = 64  # tables, at most: a class is posted once per table
 CLASS = ["competition_id", "class_id"]
 
 
@@ -39,6 +41,25 @@ def tables_of(planes: int, threshold: float, miss: float = MISS) -> int:
     return 1 if agree >= 1.0 else max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
+def cut_of(rows: int, threshold: float, bucket: int = BUCKET, miss: float = MISS) -> tuple[int, int]:
+    """(hyperplanes, tables) of a competition: buckets of about ``bucket`` classes, or larger ones where these would need more than
+    MOST_TABLES tables. A low threshold needs so many tables that a class is posted more often than there are others to compare it
+    with; fewer hyperplanes keep the probability of a miss, and what is posted stays in proportion to the classes."""
+    planes = planes_of(rows, bucket)
+    while planes > 1 and tables_of(planes, threshold, miss) > MOST_TABLES:
+        planes -= 1
+    return planes, tables_of(planes, threshold, miss)
+
+
+def _packed(codes: np.ndarray, planes: int) -> list[bytes]:
+    """The codes of each row as bytes, as narrow as the hyperplanes allow."""
+    return [row.tobytes() for row in codes.astype(_narrow(planes))]
+
+
+def _narrow(planes: int) -> str:
+    return "uint8" if planes <= 8 else "uint16" if planes <= 16 else "uint64"
+
+
 def _units(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype("float64")
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
@@ -73,19 +94,23 @@ def indexed_pairs(classes: DataFrame, threshold: float = DUPLICATE_COSINE, bucke
     """
     sizes = classes.groupBy("competition_id").agg(F.count(F.lit(1)).alias("_rows"))
     kind = dict(classes.dtypes)
-    schema = f"competition_id {kind['competition_id']}, class_id {kind['class_id']}, embedding {kind['embedding']}, _codes array<bigint>"
+    schema = f"competition_id {kind['competition_id']}, class_id {kind['class_id']}, embedding {kind['embedding']}, _planes int, _packed binary, _codes array<bigint>"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (rows, _), part in batch.groupby(["_rows", batch["embedding"].map(len)]):
-                planes = planes_of(int(rows), bucket)
-                codes = codes_of(_units(part["embedding"]), planes, tables_of(planes, threshold, miss), seed)
-                yield part.drop(columns="_rows").assign(_codes=list(codes))
+                planes, tables = cut_of(int(rows), threshold, bucket, miss)
+                codes = codes_of(_units(part["embedding"]), planes, tables, seed)
+                yield part.drop(columns="_rows").assign(_planes=planes, _packed=_packed(codes, planes), _codes=list(codes))
 
     placed = classes.select(*CLASS, "embedding").join(sizes, "competition_id").mapInPandas(place, schema)
-    posted = placed.select("*", F.posexplode("_codes").alias("_table", "_code"))
+    placed.write.parquet(path := work_dir(classes.sparkSession) + "/placed")
+    placed = classes.sparkSession.read.schema(placed.schema).parquet(path)
+    posted = placed.select(*CLASS, "embedding", "_planes", "_packed", F.posexplode("_codes").alias("_table", "_code"))
     key = ["competition_id", "_table", "_code"]
-    counts = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts = placed.select("competition_id", F.posexplode("_codes").alias("_table", "_code")).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts.write.parquet(path := work_dir(classes.sparkSession) + "/counts")  # its size is known: the postings are not shuffled to meet few buckets
+    counts = classes.sparkSession.read.schema(counts.schema).parquet(path)
     posted = posted.join(counts, key).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("bigint"))
     own = posted.withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_blocks")))
     meeting = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
@@ -98,7 +123,7 @@ def indexed_pairs(classes: DataFrame, threshold: float = DUPLICATE_COSINE, bucke
         sim = units[left] @ units[right].T
         near = np.triu(sim > threshold, k=1) if lo == hi else sim > threshold
         i, j = np.nonzero(near)
-        codes = np.stack(group["_codes"].to_numpy())
+        codes = np.stack([np.frombuffer(b, _narrow(int(group["_planes"].iloc[0]))) for b in group["_packed"]])
         first = (codes[left[i]] == codes[right[j]]).argmax(axis=1) == table
         i, j = i[first], j[first]
         a, b = ids[left[i]], ids[right[j]]
