@@ -32,6 +32,7 @@ def lists_for(min_bytes: int) -> list:
 
 BLOCK = 2048
 CHUNK = 1 << 16
+BRANCHES = 256  # texts of one fingerprint are linked over so many of them
 
 
 def simhash(text: str, width: int) -> int:
@@ -145,6 +146,22 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTE
     return rows.repartition(*work).sortWithinPartitions(*work).mapInPandas(partial(_links, partial(_forest, max_bits=max_bits, min_bytes=min_bytes)), "a bigint, b bigint")
 
 
+def text_links(texts: DataFrame, width: int = 5, max_bits: int = MAX_BITS, min_bytes: int = MIN_BYTES, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of keys ``fp`` of texts whose components are those of the texts under the links between their fingerprints.
+
+    Texts of one fingerprint form a tree of two levels, so the pairs of a key stay few even where many texts share a fingerprint.
+    """
+    prints = stored(texts.select("fp", fingerprint(F.col("text"), width).alias("print")).withColumn("branch", F.pmod(F.xxhash64("fp"), F.lit(BRANCHES))))
+    branches = prints.groupBy("print", "branch").agg(F.min("fp").alias("a"))
+    tops = stored(branches.groupBy("print").agg(F.min("a").alias("top")))
+    low, high = (tops.select(F.col("print").alias(c), F.col("top").alias(f"top_{c}")) for c in "ab")
+    apart = links(tops.select(F.col("print").alias("fp")), max_bits, min_bytes, block).distinct().join(low, "a").join(high, "b").select("top_a", "top_b")
+    equal = prints.join(branches, ["print", "branch"]).select("a", F.col("fp").alias("b"))
+    equal = equal.union(branches.join(tops, "print").select("top", "a"))
+    pairs = equal.union(apart).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds to (doc_id, fp) the smallest id that can be reached over the edges between the nodes (fp, its smallest id ``low``)."""
     roots = components(edges)

@@ -66,6 +66,39 @@ def test_pipeline_stage_decides_by_shingles(spark):
     assert kept == {i for i, _ in rows if i % 4 != 1}
 
 
+def test_pipeline_stage_starts_from_fingerprints(spark, monkeypatch):
+    """The stage takes operator 5's links as proposals, verifies them, and finds by lists what they miss; its result is that of brute force."""
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, made = [], simhash.text_links
+    monkeypatch.setattr(simhash, "text_links", lambda texts: seen.append(made(texts).cache()) or seen[0])
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == set(wanted(rows).values())
+    assert len(seen) == 1 and seen[0].count() > 0
+
+
+def test_proposals_are_the_classes_of_fingerprints(spark, monkeypatch):
+    """Different texts of one fingerprint link too, over however many branches; unlike texts among the proposals are turned down."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{t} {' ' * i}") for i, t in enumerate([" ".join("abcdefgh")] * 9)] + [(i, t) for i, t in edited_rows() if t]
+    texts = spark.createDataFrame(rows, "fp bigint, text string").dropDuplicates(["fp"]).cache()
+    rows = [(r["fp"], r["text"]) for r in texts.collect()]
+    prints = {i: simhash.simhash(t, 5) for i, t in rows}
+    want = roots(sorted(prints), lambda a, b: bin((prints[a] ^ prints[b]) & (1 << 64) - 1).count("1") <= 3)
+    for branches in (simhash.BRANCHES, 2):
+        monkeypatch.setattr(simhash, "BRANCHES", branches)
+        pairs = {(r["a"], r["b"]) for r in simhash.text_links(texts).collect()}
+        got = roots(sorted(prints), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+        assert len(set(want.values())) < len(prints) and len(pairs) < len(prints) * 2
+        assert all((want[a] == want[b]) == (got[a] == got[b]) for a in prints for b in prints)
+    keyed = spark.createDataFrame(edited_rows(), "doc_id bigint, text string").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["fp"]).cache()
+    keys = [(r["fp"], r["text"]) for r in keyed.collect()]
+    wrong = spark.createDataFrame([(min(a[0], b[0]), max(a[0], b[0])) for a, b in zip(keys, keys[1:])], "a bigint, b bigint")
+    text = dict(keys)
+    assert all(brute_share(text[r["a"]], text[r["b"]]) >= 0.8 for r in jaccard.links(keyed, proposed=wrong).collect())
+
+
 def test_long_texts_of_unlike_sizes(spark):
     """Texts on both sides of 512 and 1024 shingles, whose parities have different numbers of buckets, link just above 0.8 only."""
     rng = random.Random(13)
