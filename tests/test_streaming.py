@@ -121,6 +121,67 @@ def test_gate_equals_its_columns(spark, feed):
     assert _rows(several, *cols) == _rows(once, *cols)
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_gates_share_the_state_of_their_bucket(spark, monkeypatch, buckets):
+    """All cycles of a bucket are one call and one timer: same rows as alone, and as many state entries as buckets, not as cycles."""
+    monkeypatch.setattr(keyed, "BUCKETS", buckets)
+    many = [(f"m{i}", 1000 + 3 * i + j, 50 * i + j * 100, 0.5, None, False) for i in range(60) for j in range(i % 3 + 1)]
+    feed = parts(spark, [gate_rows(spark, GATES + many), gate_rows(spark, [("quorum", 21, 3650, 0.9, None, False), ("m0", 5000, 3650, 0.9, None, False)]),
+                         gate_rows(spark, [("clock", 10, 90_000, 0.5, None, False)])])
+    path = work_dir(spark)
+    rows = keyed.run_keyed(keyed.gate(feed(), "1 hour", keep_sec=600), path)
+    zero = int(gate_rows(spark, [("", 0, 0, 0.5, None, False)]).first().run_ts.timestamp())
+    got = {r.super_cycle_id: (r.reason, r.n_success, int(r.fired_at.timestamp()) - zero) for r in rows.collect()}
+    want = {f"m{i}": ("grace", 1, 50 * i + 900) if i % 3 == 0 else ("quorum", 2, 50 * i + 100) for i in range(60)}
+    assert rows.count() == len(got)
+    assert got == {**want, "quorum": ("quorum", 2, 100), "errors": ("all_done", 0, 9), "grace": ("grace", 1, 900), "futile": ("maxwait", 0, 3000)}
+    assert [(r.super_cycle_id, r.fired) for r in keyed.state_of(spark, path, "facts").collect()] == [("clock", False)]
+    first = spark.read.format("statestore").option("stateVarName", "clock").option("batchId", 0).load(f"{path}/checkpoint")
+    assert first.count() == buckets
+
+
+def test_newest_lists_share_the_state_of_their_bucket(spark, feed, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 2)
+    stream, t = feed
+    path = work_dir(spark)
+    rows = keyed.run_keyed(keyed.tripwire(roles.project(parts(spark, [t.raw("orders")])(), "subs"), stream(), t.competitions), path, expiring=True)
+    cols = ["competition_id", "n_deltas", "n_diverged", "newest_attempt", "tripped"]
+    assert _rows(keyed.newest(rows, ["competition_id"], "seen"), *cols) == _rows(views.cv_lb_tripwire(t.subs, t.attempts, t.competitions), *cols)
+
+
+def test_lists_of_a_bucket_expire_one_by_one():
+    """A key without rows for the time to live starts anew, though its bucket lives on."""
+    class Held:
+        rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    class Handle:
+        def getListState(self, *_):
+            return Held()
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.now
+
+    processor = keyed.Stagnation("bigint", 5, 3)
+    processor.out = lambda *values: values
+    processor.init(Handle())
+    row = lambda k, ts: {"competition_id": k, "run_ts": ts, "attempt_id": ts, "label": "x"}
+    call = lambda now, *rows: sorted(processor.handleInputRows((0,), iter(rows), Clock(now)))
+    assert call(0, row(1, 1), row(2, 1)) == [(1, 0, 1, False, 1), (2, 0, 1, False, 1)]
+    assert call(keyed.KEEP_MS - 1, row(1, 2)) == [(1, 0, 2, False, 2)]
+    assert call(keyed.KEEP_MS, row(2, 3)) == [(2, 0, 1, False, 1)]
+    assert call(keyed.KEEP_MS, row(1, 3)) == [(1, 0, 3, True, 3)]
+
+
 def test_a_batch_touches_its_own_keys_only(spark):
     """20,000 keys in the state, a batch of 50 rows: 50 keys are read and written."""
     n = 20_000
