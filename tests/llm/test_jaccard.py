@@ -129,3 +129,53 @@ def test_radius_without_guarantee_is_warned_of(spark):
         warnings.simplefilter("error")
         assert simhash.links(df, 7, 1).count() == 1
         simhash.links(df)
+
+
+def crowded_rows():
+    """24 texts of one fingerprint: what they repeat outweighs the 40 words in which eight groups of three differ."""
+    rng = random.Random(14)
+    rows = []
+    for group in range(8):
+        own = [word(rng) for _ in range(40)]
+        rows += [(3 * group + k, " ".join("abcde" * 100) + " " + " ".join([*own, f"end{k}"])) for k in range(3)]
+    return rows
+
+
+def test_all_pairs_of_a_fingerprint_are_verified(spark, monkeypatch):
+    """Without the prefix lists: a tree over the texts of one fingerprint links few of them, all its pairs link the groups."""
+    def nothing(batches, share, lo, hi):
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"a": [], "b": []}).astype("int64")
+
+    rows = crowded_rows()
+    assert len({simhash.simhash(t, 5) for _, t in rows}) == 1 and brute_share(rows[0][1], rows[1][1]) > 0.8 > brute_share(rows[0][1], rows[3][1])
+    monkeypatch.setattr(jaccard, "_candidates", nothing)
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert kept == {3 * group for group in range(8)}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_text_pairs_are_all_pairs(spark, block):
+    """Every pair of fingerprints within the radius whose roots differ, and no other, however the lists are cut."""
+    rng = random.Random(15)
+    base = [" ".join(word(rng) for _ in range(120)) for _ in range(6)]
+    texts = [t for t in base for _ in range(4)]
+    texts = [" ".join([*t.split()[:-1], word(rng)]) for t in texts] + [t for _, t in crowded_rows()]
+    rows = [(i, t, i % 3) for i, t in enumerate(texts)]
+    prints = [simhash.simhash(t, 5) for t in texts]
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if i % 3 != j % 3 and bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 3}
+    got = [(r["a"], r["b"]) for r in simhash.text_pairs(spark.createDataFrame(rows, "fp bigint, text string, root bigint"), block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 190
+
+
+def test_an_id_stands_for_each_of_its_components(spark):
+    """Unlike texts under one id, or without an id, are kept each; a text that is linked to another id is not kept for its own."""
+    one, two, three, four = ("one two three four five six", "alpha beta gamma delta eps", "red green blue cyan pink", "x y z u v w")
+    five = "nobody else has any of these"
+    rows = [(None, one), (None, two), (None, two), (None, five), (5, three), (5, four), (3, three), (7, one.upper())]
+    want = [(3, three), (5, four), (7, one.upper()), (None, five), (None, two)]
+    for keep in (corpus_pipeline.near, lambda spark, docs, _: simhash.keep_one(docs)):
+        got = keep(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [(str(i), t) for i, t in want]
