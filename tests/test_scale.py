@@ -1,6 +1,7 @@
 """Plans of the model operators: what they shuffle does not gather by a few values, and shared work is done once."""
 
 import numpy as np
+import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -51,3 +52,21 @@ def test_trees_predict_without_interpreted_steps(spark):
     df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame([(float(a), float(b), float(a > 0)) for a, b in x], "a double, b double, label double"))
     out = ExtraTrees(numTrees=3, classification=True).fit(df).transform(df)
     assert "lambdafunction" not in planned(out) and out.count() == 200
+
+
+def test_models_of_one_split_share_their_rows(spark, monkeypatch):
+    """Rows are coded and prepared once for all models, and every model predicts what it predicts alone."""
+    df = rows(spark)
+    train, valid = df.filter("a > 0"), df.filter("a = 0")
+    small = {"n_estimators": 2, "max_depth": 2}
+    pipes = [E.Pipeline(model_spec={"model": m, "params": p}) for m, p in (("ridge", {}), ("random_forest", small), ("extra_trees", small))]
+    alone = [E.fit_predict(p, {}, train, valid, REG, truth=True).collect() for p in pipes]
+    made, coded = [], []
+    start, codes = E.Prepared.__init__, training.string_codes
+    monkeypatch.setattr(E.Prepared, "__init__", lambda self, *a: (made.append(1), start(self, *a))[1])
+    monkeypatch.setattr(training, "string_codes", lambda *a: (coded.append(1), codes(*a))[1])
+    for want, got in zip(alone, E.fit_predict_all(pipes, train, valid, REG)):
+        assert {(r["row_id"], r["y"], round(r["pred"], 6)) for r in got.collect()} == {(r["row_id"], r["y"], round(r["pred"], 6)) for r in want}
+    assert len(made) == len(coded) == 1
+    with pytest.raises(ValueError, match="hooks"):
+        next(E.fit_predict_all([E.Pipeline(ensemble_spec={"method": "stack", "members": []})], train, valid, REG))
