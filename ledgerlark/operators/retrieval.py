@@ -106,7 +106,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _best_of_block(lessons: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest allowed lessons of the block for every query of the block."""
+    """The k nearest allowed lessons of the block for every query of the block: ``_near``, which ranks, has DIGITS digits, ``sim`` all but noise."""
     lessons = lessons.sort_values("reflection_id", kind="stable")
     ids, homes, general = (lessons[c].to_numpy() for c in ("reflection_id", "_home", "_general"))
     out = []
@@ -114,17 +114,18 @@ def _best_of_block(lessons: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.D
         theirs = _unit(lessons["embedding"]).T
         for i in range(0, len(queries), STRIP):
             strip = queries.iloc[i:i + STRIP]
-            sim = np.round(_unit(strip["_vector"]) @ theirs, DIGITS)
+            whole = _unit(strip["_vector"]) @ theirs
+            sim = np.round(whole, DIGITS)
             sim[~(general[None, :] | (strip["_own"].to_numpy()[:, None] == homes[None, :]))] = -np.inf
-            for query, row in zip(strip["query_id"], sim):
+            for query, row, values in zip(strip["query_id"], sim, whole):
                 if len(row) > k:  # everything at or above the k-th value, so that ties go by the id
                     at = np.flatnonzero(row >= np.partition(row, -k)[-k])
                 else:
                     at = np.arange(len(row))
                 at = at[np.argsort(-row[at], kind="stable")][:k]
                 at = at[row[at] > -np.inf]
-                out.append(pd.DataFrame({"query_id": query, "reflection_id": ids[at], "sim": row[at]}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "reflection_id", "sim"])
+                out.append(pd.DataFrame({"query_id": query, "reflection_id": ids[at], "sim": np.round(values[at], 12), "_near": row[at]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "reflection_id", "sim", "_near"])
 
 
 def candidates_of(queries: DataFrame, lessons: DataFrame, impact: DataFrame, k: int = 5) -> DataFrame:
@@ -152,8 +153,8 @@ def candidates_of(queries: DataFrame, lessons: DataFrame, impact: DataFrame, k:
     pair = ["_left", "_right", "_size"]
     left = dealt(live, "reflection_id", "_left", n_live, "_right", n_asked).groupBy(*pair)
     right = dealt(asked, "query_id", "_right", n_asked, "_left", n_live).groupBy(*pair)
-    near = left.cogroup(right).applyInPandas(lambda a, b: _best_of_block(a, b, 4 * k), f"query_id {dict(queries.dtypes)['query_id']}, reflection_id {dict(lessons.dtypes)['reflection_id']}, sim double")
-    top = prefix.newest_per_key(near, ["query_id"], [F.col("sim").desc(), F.col("reflection_id")], 4 * k).drop("rn")
+    near = left.cogroup(right).applyInPandas(lambda a, b: _best_of_block(a, b, 4 * k), f"query_id {dict(queries.dtypes)['query_id']}, reflection_id {dict(lessons.dtypes)['reflection_id']}, sim double, _near double")
+    top = prefix.newest_per_key(near, ["query_id"], [F.col("_near").desc(), F.col("reflection_id")], 4 * k).drop("rn", "_near")
     return top.join(impact.select("reflection_id", "avg_gain"), "reflection_id", "left").fillna({"avg_gain": 0.0})
 
 

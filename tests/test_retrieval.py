@@ -113,3 +113,13 @@ def test_search_of_a_table_equals_single_searches(spark):
     for q in queries.collect():
         one = {r.place: r.reflection_id for r in R.search(t.lessons, t.impact, [float(x) for x in q.embedding], q.competition_id).collect()}
         assert many[q.query_id] == one
+
+
+def test_candidates_keep_the_digits_that_do_not_rank(spark):
+    """A cosine just below the middle of two numbers of six digits is not moved over it by rounding to nine first."""
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, 1, "L2_class", False, at(0.2190324999157265)), (2, 1, "L2_class", False, at(0.21903249992)), (3, 1, "L2_class", False, at(0.3))]
+    lessons = spark.createDataFrame(rows, "reflection_id long, competition_id int, generality string, archived boolean, embedding array<double>")
+    queries = spark.createDataFrame([(9, 1, [1.0, 0.0])], "query_id long, competition_id int, embedding array<double>")
+    got = R.candidates_of(queries, lessons, spark.createDataFrame([], "reflection_id long, avg_gain double")).collect()
+    assert {r.reflection_id: round(r.sim, 6) for r in got} == {1: 0.219032, 2: 0.219032, 3: 0.3}
